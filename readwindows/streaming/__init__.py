@@ -1,0 +1 @@
+"""No streaming operator is part of the feature set: every job here is a batch job."""
