@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readwindows import fixtures
+from readwindows.checks import bam_files
 from readwindows.functions import kmers, scores
 from readwindows.operators import (
     align,
@@ -24,7 +25,7 @@ from readwindows.operators import (
 )
 from readwindows.plans.prepare import prepare
 from readwindows.plans.preprocess import label_windows, make_windows
-from readwindows.session import scratch_path
+from readwindows.session import scratch_path, stage
 from readwindows.sources import alignments, bed, fasta, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,10 +100,18 @@ def s4_parquet_scan(spark, sf_dir):
     return _written_reads(spark, sf_dir, "parquet")
 
 
+@query
+def s4_bam_scan(spark, sf_dir):
+    path = scratch_path(spark, "bam")
+    bam_files.write_part_files(fixtures.reads(spark, sf_dir), path)
+    return alignments.read_alignments(spark, path, "bam").drop("source_file", "read_ordinal")
+
+
 @query
 def s5_file_cap(spark, sf_dir):
     path = scratch_path(spark, "files")
-    fixtures.reads(spark, sf_dir).withColumn("file", F.col("source_file")).write.partitionBy("file").parquet(path)
+    reads = fixtures.reads(spark, sf_dir).withColumn("file", F.col("source_file"))
+    reads.repartition("file").write.partitionBy("file").parquet(path)
     return alignments.read_alignments(spark, path, "parquet", max_files=3).groupBy("source_file").agg(
         F.count("*").alias("reads")
     )
@@ -532,7 +541,7 @@ def _language_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = fixtures.reads(spark, sf_dir).where("query_sequence IS NOT NULL")
     found = windows.slide(reads, 400, 400)
     by_contig = (F.col("chromosome") == PARAMS.contig).cast("int")
-    return dataset.split(found.withColumn("labels", by_contig), seed=PARAMS.seed)
+    return stage(dataset.split(found.withColumn("labels", by_contig), seed=PARAMS.seed))
 
 
 K_MODEL = 4
@@ -540,7 +549,7 @@ K_MODEL = 4
 
 @query
 def m1_m2_scored_validation(spark, sf_dir):
-    tables = _language_windows(spark, sf_dir).persist()
+    tables = _language_windows(spark, sf_dir)
     fitted = model.fit(dataset.part(tables, "train"), K_MODEL)
     return model.score(fitted, dataset.part(tables, "val"))
 

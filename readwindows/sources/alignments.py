@@ -12,6 +12,7 @@ READS = (
     "query_name string, flag int, reference_name string, reference_start bigint, mapping_quality int, "
     "cigar string, query_sequence string, query_length int, source_file string, read_ordinal bigint"
 )
+READ_COLUMNS = [field.split()[0] for field in READS.split(", ")]
 SAM_FIELDS = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 FORMATS = ("sam", "bam", "parquet")
 
@@ -104,10 +105,19 @@ def _read_bam(spark: SparkSession, path: str, glob: str, max_files: int | None,
     from readwindows.sources.bam import BamDataSource
 
     spark.dataSource.register(BamDataSource)
-    reader = spark.read.format("bam").option("glob", glob).option("on_error", on_error)
-    if max_files is not None:
-        reader = reader.option("max_files", max_files)
-    return reader.load(path)
+
+    def scan(mode: str) -> DataFrame:
+        reader = spark.read.format("bam").option("glob", glob).option("mode", mode)
+        if max_files is not None:
+            reader = reader.option("max_files", max_files)
+        return reader.load(path)
+
+    if on_error == "fail":
+        return scan("fail").drop("error")
+    # The check walks over all records without decoding them; it reports whole files,
+    # of which the driver has listed every one already.
+    bad = scan("check").select("source_file").distinct()
+    return scan("skip").drop("error").join(F.broadcast(bad), "source_file", "left_anti").select(*READ_COLUMNS)
 
 
 def write_alignments(reads: DataFrame, path: str, mode: str = "errorifexists") -> None:
