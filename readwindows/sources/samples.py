@@ -25,8 +25,8 @@ def read_samples(
     spark: SparkSession, path: str, schema: str = WINDOW_SAMPLES, format: str = "parquet"
 ) -> DataFrame:
     reader = spark.read.option("header", True).schema(schema)
-    # An empty sequence is written as "" and must not come back as null.
-    return reader.option("emptyValue", "").format(format).load(path)
+    # Null is an empty field and an empty sequence is "": a null mark unlike "" keeps them apart.
+    return reader.option("nullValue", "\\N").format(format).load(path)
 
 
 def write_class_samples(labelled: DataFrame, folder: str, format: str = "csv") -> None:
