@@ -27,11 +27,20 @@ def _starts(letters: Column, k: int) -> Column:
 
 def split(sequence: Column, k: int) -> Column:
     """All overlapping k-mers, in order."""
-    return let(
-        _letters(sequence),
-        lambda letters: F.transform(
-            _starts(letters, k), lambda i: F.array_join(F.slice(letters, i + 1, F.lit(k)), "")
-        ),
+
+    def from_bytes(data: Column) -> Column:
+        starts = F.when(F.length(data) >= k, F.sequence(F.lit(1), F.length(data) - (k - 1)))
+        return F.transform(
+            F.coalesce(starts, F.array().cast("array<int>")),
+            lambda i: F.substring(data, i, F.lit(k)).cast("string"),
+        )
+
+    def from_letters(letters: Column) -> Column:
+        return F.transform(_starts(letters, k), lambda i: F.array_join(F.slice(letters, i + 1, F.lit(k)), ""))
+
+    single_bytes = F.octet_length(sequence) == F.length(sequence)
+    return F.when(single_bytes, let(sequence.cast("binary"), from_bytes)).otherwise(
+        let(_letters(sequence), from_letters)
     )
 
 
@@ -48,24 +57,36 @@ def _digit(letter: Column) -> Column:
     return digit
 
 
+def _joined(left: Column, right: Column, at: int, width: int) -> Column:
+    """Each number of ``left`` followed by the ``width``-digit number ``at`` places on."""
+    return F.transform(left, lambda x, i: x * len(ALPHABET) ** width + F.get(right, i + at))
+
+
+def _numbers(digits: Column, k: int) -> Column:
+    """The k-digit number from each place on, by doubling; null where it meets a null or the end."""
+    if k == 1:
+        return digits
+
+    def doubled(half: Column) -> Column:
+        even = _joined(half, half, k // 2, k // 2)
+        return even if k % 2 == 0 else _joined(even, digits, k - 1, 1)
+
+    return let(_numbers(digits, k // 2), doubled)
+
+
 def encode(sequence: Column, k: int) -> Column:
     """k-mer ids: the k-mer read as a number in base four, after the reserved ids.
 
     A k-mer with any other letter (N, lower case) is unknown. Linear in the length, no
     lookup table.
     """
-    kind = "int" if 4**k + FIRST_KMER_ID < 2**31 else "bigint"
+    kind = "int" if len(ALPHABET) ** k + FIRST_KMER_ID < 2**31 else "bigint"
 
     def ids(digits: Column) -> Column:
-        def number(i: Column) -> Column:
-            value = F.get(digits, i).cast(kind)
-            for j in range(1, k):
-                value = value * len(ALPHABET) + F.get(digits, i + j)
-            return F.coalesce(value + FIRST_KMER_ID, F.lit(UNKNOWN_ID))
-
-        return F.transform(_starts(digits, k), number)
+        complete = F.slice(_numbers(digits, k), F.lit(1), F.greatest(F.size(digits) - (k - 1), F.lit(0)))
+        return F.transform(complete, lambda x: F.coalesce(x + FIRST_KMER_ID, F.lit(UNKNOWN_ID)))
 
-    return let(F.transform(_letters(sequence), _digit), ids)
+    return let(F.transform(_letters(sequence), lambda c: _digit(c).cast(kind)), ids)
 
 
 def nucleotides(sequence: Column, on_unknown: str = "error") -> Column:

@@ -9,7 +9,7 @@ from readwindows.functions import kmers
 from readwindows.functions.similarity import lcs_length
 from readwindows.operators import features, similarity
 
-SEQUENCES = ["", "ACG", "ACGTAC", "ACGTACGTTT", "acgtacgt", "ACGNACGTACG", "TTTTTTT"]
+SEQUENCES = ["", "ACG", "ACGTAC", "ACGTACGTTT", "acgtacgt", "ACGNACGTACG", "TTTTTTT", "AÇGTÄCGT"]
 
 
 def table(spark):
