@@ -19,10 +19,13 @@ from readwindows.operators import (
     metrics,
     model,
     peaks as peak_ops,
+    ranking,
     reads as read_ops,
     similarity,
     windows,
 )
+from readwindows.params import Params
+from readwindows.plans.evaluate import train_and_evaluate
 from readwindows.plans.prepare import Prepared, prepare
 from readwindows.plans.preprocess import label_windows, make_windows
 from readwindows.session import scratch_path, stage
@@ -415,9 +418,7 @@ def r4_shuffled_samples(spark, sf_dir):
 
 @query
 def r5_first_windows(spark, sf_dir):
-    from readwindows.operators.ranking import first_rows
-
-    return first_rows(_windows(spark, sf_dir), windows.WINDOW_KEY, similarity.DEFAULT_LIMIT)
+    return ranking.first_rows(_windows(spark, sf_dir), windows.WINDOW_KEY, similarity.DEFAULT_LIMIT)
 
 
 @query
@@ -559,6 +560,13 @@ def m1_m2_scored_validation(spark, sf_dir):
     return model.score(fitted, dataset.part(tables, "val"))
 
 
+@query
+def m1_u3_model_report(spark, sf_dir):
+    """Train and evaluate in one call; the texts have copies, so the leak check is off."""
+    tables = _language_windows(spark, sf_dir)
+    return train_and_evaluate(tables, Params(kmer_size=K_MODEL), check_leakage=False).report
+
+
 @query
 def m3_tuning(spark, sf_dir):
     tables = _language_windows(spark, sf_dir)

@@ -1,8 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from readwindows import Params
 from readwindows.operators import metrics, model
+from readwindows.plans.evaluate import train_and_evaluate
+from readwindows.plans.peak_report import peak_report
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +46,27 @@ def test_tuning(spark, tables):
 
 def test_counts_use_the_fixed_vocabulary():
     assert model._vocabulary(2)[:5] == ["AA", "AC", "AG", "AT", "CA"] and len(model._vocabulary(3)) == 64
+
+
+def test_train_and_evaluate(tables):
+    train, val = tables
+    splits = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
+    made = train_and_evaluate(splits, Params(kmer_size=2))
+    cells = {(r.truth, r.prediction): r.n for r in made.confusion.collect()}
+    report = made.report.first()
+    assert (cells[1, 1], cells[0, 1], cells[1, 0], cells[0, 0]) == (report.tp, report.fp, report.fn, report.tn)
+    assert sum(cells.values()) == val.count() and made.loss.first().loss > 0
+    leaky = splits.unionByName(train.limit(1).withColumn("split", F.lit("test")))
+    with pytest.raises(ValueError, match="leak"):
+        train_and_evaluate(leaky, Params(kmer_size=2))
+
+
+def test_peak_report(spark):
+    peaks = spark.createDataFrame(
+        [("chr1", 0, 10), ("chr1", 20, 50), ("chr2", 0, 100)], "chrom string, start bigint, `end` bigint"
+    )
+    made = peak_report(peaks, "chr1")
+    assert made.summary.first().max_width == 100 and made.widths.count() == 2
+    assert sum(r.peaks for r in made.histogram.collect()) == 2
+    assert sorted(map(tuple, made.series.collect())) == [(0, 10), (1, 30)]
+    assert made.density.count() == 200
