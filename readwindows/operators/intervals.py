@@ -10,6 +10,7 @@ de-duplication and a left join needs no second pass.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from readwindows.session import broadcast_up_to
 WINDOW_COLS = ("chromosome", "reference_start", "reference_end")
 PEAK_COLS = ("chrom", "start", "end")
 # Above this many listed rows the right side is shuffled instead of broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -39,13 +40,13 @@ def widest(df: DataFrame, cols: tuple[str, str, str] = WINDOW_COLS) -> int:
 def choose_cells(right: DataFrame, left_width: int, cols: tuple[str, str, str] = PEAK_COLS) -> Cells:
     """Cells for intervals up to ``left_width`` wide (an action on the right side).
 
-    At least as wide as the mean right interval, so that listing multiplies the right
-    side by at most four whatever its longest interval is.
+    At least a quarter of the mean right interval, so that listing multiplies the right
+    side by at most seven whatever its longest interval is.
     """
     width = F.col(cols[2]) - F.col(cols[1])
     rows, total = right.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
     mean = total / rows if rows else 0
-    size = 1 << max(0, int(max(left_width, mean, 1) - 1)).bit_length()
+    size = 1 << (math.ceil(max(left_width, mean / 4, 1)) - 1).bit_length()
     return Cells(width=size, listed=int(total / size) + 3 * rows)
 
 

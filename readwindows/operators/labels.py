@@ -47,20 +47,22 @@ def _peaks_per_cell(peaks: DataFrame, cells: Cells, mode: str) -> DataFrame:
 
 
 def _window_overlap(mode: str, start: Column, end: Column) -> Column:
+    """The deciding overlap among the ``peaks`` of the window's cell."""
     if mode == "max":
-        best = F.array_max(
-            F.transform("peaks", lambda p: F.greatest(overlap_bp(start, end, p["s"], p["e"]), F.lit(0)))
+        best = F.aggregate(
+            "peaks",
+            F.lit(0).cast("bigint"),
+            lambda most, p: F.greatest(most, overlap_bp(start, end, p["s"], p["e"])),
         )
     else:
-        hits = F.filter("peaks", lambda p: (p["ps"] < end) & (p["e"] > start))
-        ordered = F.transform(
-            hits,
-            lambda p: F.struct(
-                p["ps"], p["pe"], overlap_bp(start, end, p["ps"], p["e"]).alias("bp")
-            ),
-        )
-        best = F.array_min(ordered)["bp"]
-    return F.coalesce(best, F.lit(0)).cast("bigint")
+
+        def hit(p: Column) -> Column:
+            bp = overlap_bp(start, end, p["ps"], p["e"])
+            return F.when(bp > 0, F.struct(p["ps"].alias("ps"), p["pe"].alias("pe"), bp.alias("bp")))
+
+        none = F.lit(None).cast("struct<ps:bigint,pe:bigint,bp:bigint>")
+        best = F.aggregate("peaks", none, lambda first, p: F.least(first, hit(p)))["bp"]
+    return F.coalesce(best, F.lit(0))
 
 
 def by_overlap(

@@ -11,7 +11,7 @@ from readwindows.functions.similarity import similarity
 from readwindows.operators.ranking import first_rows
 from readwindows.session import broadcast_up_to
 
-BROADCAST_SEQUENCES = 10_000
+BROADCAST_SEQUENCES = 1_000
 DEFAULT_LIMIT = 50  # fixed value
 
 

@@ -152,3 +152,39 @@ def test_counts(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), ("b", 0)], "source_file string, labels int")
     assert sorted(map(tuple, labels.counts(df).collect())) == [("a", 1, 1), ("b", 0, 1)]
     assert tuple(labels.counts(df, by=None).first()) == (1, 2)
+
+
+def test_hot_cell_is_split_when_peaks_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(labels, "BROADCAST_ENTRIES", 0)
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    n = 60_000
+    start = F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") * 40)
+    windows = spark.range(n, numPartitions=8).select(
+        F.lit("f").alias("source_file"),
+        F.col("id").alias("read_ordinal"),
+        F.lit(0).cast("bigint").alias("window_index"),
+        F.lit("chr1").alias("chromosome"),
+        start.alias("reference_start"),
+        (start + 50).alias("reference_end"),
+        F.md5(F.col("id").cast("string")).alias("query_subseq"),
+    )
+    peaks = spark.range(n).select(
+        F.lit("chr1").alias("chrom"), (F.col("id") * 40 + 3).alias("start"), (F.col("id") * 40 + 43).alias("end")
+    )
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = labels.by_overlap(windows, peaks, 25, window_size=50)
+        assert df.where("labels = 1").count() + df.where("labels = 0").count() == n
+        rows = df.groupBy("labels").agg(F.max("query_subseq"))
+        rows.collect()
+        assert "skew=true" in plan_of(rows)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
