@@ -40,10 +40,17 @@ def dedup(
 
 
 def downsample_per_group(
-    df: DataFrame, group: str = "source_file", seed: int = 42, keys: Sequence[str] = tuple(WINDOW_KEY)
+    df: DataFrame,
+    group: str = "source_file",
+    seed: int = 42,
+    keys: Sequence[str] = tuple(WINDOW_KEY),
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Per file, keep as many random negatives as the file has positives."""
-    return ranking.match_negatives(df, keys, seed, groups=[group])
+    """Per file, keep as many random negatives as the file has positives.
+
+    ``counted``: the same rows for the counting pass, if they are cheaper without payload.
+    """
+    return ranking.match_negatives(df, keys, seed, groups=[group], counted=counted)
 
 
 def balance(

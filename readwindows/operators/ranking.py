@@ -79,19 +79,23 @@ def match_negatives(
     seed: int | str,
     groups: Sequence[str] = (),
     strict: bool = False,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """All positives, and per group exactly as many negatives in seeded random order.
 
     A group with fewer negatives keeps them all, or raises under ``strict``.
     The cut bucket of each group is found first (an action on keys and labels only); the
-    rows beyond it are dropped before anything is shuffled.
+    rows beyond it are dropped before anything is shuffled. ``counted`` may give the same
+    rows for that first pass, with only the keys, groups and labels, where that is cheaper.
     """
     bucketed = _with_buckets(labelled, seed, keys)
+    counted = labelled if counted is None else counted
     group = Window.partitionBy(*groups)
     by_label = Window.partitionBy(*groups, "labels")
     earlier = by_label.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
-        bucketed.groupBy(*groups, "labels", "_bucket")
+        _with_buckets(counted, seed, keys)
+        .groupBy(*groups, "labels", "_bucket")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_positive", F.sum(F.when(F.col("labels") == 1, F.col("_rows")).otherwise(0)).over(group))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
@@ -111,7 +115,7 @@ def match_negatives(
             "_take", F.lit(cut[1]).cast("bigint")
         )
     if strict:
-        _require_enough(labelled, groups)
+        _require_enough(counted, groups)
     positive = F.col("labels") == 1
     return (
         known.where(positive | (F.col("_bucket") <= F.col("_cut")))

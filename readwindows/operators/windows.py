@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readwindows.functions import cigar
@@ -24,33 +24,38 @@ SAMPLE_COLUMNS = [
 ]
 
 
-def slide(reads: DataFrame, size: int, step: int) -> DataFrame:
+def slide(reads: DataFrame, size: int, step: int, sequences: bool = True) -> DataFrame:
     """Windows of ``size`` aligned pairs every ``step`` pairs, without reference gaps.
 
     ``window_index`` is the place on the read's grid, counting rejected windows. A window
     with an insertion inside spans more than ``size`` query bases. A narrow operation:
     windows are found inside each read's row and no sequence is shuffled.
+    ``sequences=False`` leaves ``query_subseq`` out, for passes that only count.
     """
-    found = cigar.windows(F.col("cigar"), F.col("reference_start"), size, step)
-    with_bases = let(
-        F.col("query_sequence").cast("binary"),
-        lambda bases: F.transform(
-            found,
-            lambda w: F.struct(
-                F.floor(w["i"] / step).alias("window_index"),
-                w["reference_start"].alias("reference_start"),
-                w["reference_end"].alias("reference_end"),
-                w["query_start"].alias("query_start"),
-                w["query_end"].alias("query_end"),
-                slice_bases(bases, w["query_start"], w["query_end"]).alias("query_subseq"),
-            ),
-        ),
-    )
+    offsets = cigar.windows(F.col("cigar"), F.col("reference_start"), size, step)
+
+    def window(w: Column, bases: Column | None = None) -> Column:
+        fields = [
+            F.floor(w["i"] / step).alias("window_index"),
+            *[w[c].alias(c) for c in ("reference_start", "reference_end", "query_start", "query_end")],
+        ]
+        if bases is not None:
+            fields.append(slice_bases(bases, w["query_start"], w["query_end"]).alias("query_subseq"))
+        return F.struct(*fields)
+
+    if sequences:
+        found = let(
+            F.col("query_sequence").cast("binary"),
+            lambda bases: F.transform(offsets, lambda w: window(w, bases)),
+        )
+    else:
+        found = F.transform(offsets, lambda w: window(w))
+    columns = [c for c in SAMPLE_COLUMNS if sequences or c != "query_subseq"]
     return reads.select(
         *KEY,
         F.col("reference_name").alias("chromosome"),
         "query_name",
         "mapping_quality",
         "query_length",
-        F.inline(with_bases),
-    ).select(*WINDOW_KEY, *SAMPLE_COLUMNS)
+        F.inline(found),
+    ).select(*WINDOW_KEY, *columns)

@@ -8,18 +8,25 @@ from readwindows.operators import dataset, labels, peaks as peak_ops, reads as r
 from readwindows.params import Params
 
 
-def label_windows(reads: DataFrame, peaks: DataFrame, params: Params, mode: str = "max") -> DataFrame:
+def label_windows(
+    reads: DataFrame, peaks: DataFrame, params: Params, mode: str = "max", sequences: bool = True
+) -> DataFrame:
     """Eligible reads, their windows, and each window's label.
 
     Without the per-file balance. Narrow but for the small peak table: reads are filtered
     at the scan, expanded in place and probed against broadcast peaks.
     """
-    found = windows.slide(read_ops.eligible(reads, params), params.window_size, params.step_size)
+    chosen = read_ops.eligible(reads, params)
+    found = windows.slide(chosen, params.window_size, params.step_size, sequences)
     on_contig = peak_ops.on_contig(peaks, params.contig)
     return labels.by_overlap(found, on_contig, params.min_overlap, mode, window_size=params.window_size)
 
 
 def make_windows(reads: DataFrame, peaks: DataFrame, params: Params, mode: str = "max") -> DataFrame:
-    """Labelled windows, with negatives sampled down to the positives of their file."""
+    """Labelled windows, with negatives sampled down to the positives of their file.
+
+    Reads are scanned twice: to count, without cutting sequences, and to write.
+    """
     labelled = label_windows(reads, peaks, params, mode)
-    return dataset.downsample_per_group(labelled, "source_file", params.seed)
+    counted = label_windows(reads, peaks, params, mode, sequences=False)
+    return dataset.downsample_per_group(labelled, "source_file", params.seed, counted=counted)
