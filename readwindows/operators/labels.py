@@ -71,6 +71,7 @@ def by_overlap(
     min_overlap: int,
     mode: str = "max",
     window_size: int | None = None,
+    cells: Cells | None = None,
 ) -> DataFrame:
     """Add ``overlap_bp`` and ``labels``: 1 iff the overlap reaches ``min_overlap``.
 
@@ -79,11 +80,12 @@ def by_overlap(
 
     Each window meets at most one row, so the join neither multiplies windows nor needs
     them grouped again. ``window_size`` bounds the windows' reference width; without it
-    one pass finds it. One small aggregate over the peaks runs first.
+    one pass finds it. One small aggregate over the peaks runs first, unless its result
+    is given as ``cells``.
     """
     if mode not in MODES:
         raise ValueError(f"unknown label mode: {mode}")
-    cells = choose_cells(peaks, window_size or widest(windows))
+    cells = cells or choose_cells(peaks, window_size or widest(windows))
     table = _peaks_per_cell(peaks, cells, mode)
     start, end = F.col("reference_start"), F.col("reference_end")
     return (
