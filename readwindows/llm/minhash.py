@@ -263,20 +263,17 @@ def membership(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     # Two different sets can only be similar enough if one more shingle is a small enough change.
     least = percent / (100 - percent) if percent < 100 else float("inf")
     postings = stage(_postings(nodes.where(F.col("n") >= least)), "postings")
-    parts, links = None, None
     full = stage(_sets(docs, postings.select("node").distinct(), words), "sets")
-    for best in (0, BEST, None):
-        if parts is None:
-            pairs = _agreeing(_star_pairs(postings, percent), nodes)
-        else:
-            pairs = _apart(postings, nodes, parts, percent, best).join(tested, ["a", "b"], "left_anti")  # noqa: F821
-        pairs = stage(pairs, "pairs")
-        if not pairs.limit(1).count() and parts is not None:
-            continue
-        tested = pairs if parts is None else tested.unionByName(pairs)  # noqa: F821
-        found = _confirmed(pairs, full, percent)
-        links = stage(found if links is None else links.unionByName(found), "links")
-        parts = stage(components(links), "components")
+    tested = stage(_agreeing(_star_pairs(postings, percent), nodes), "pairs")
+    links = stage(_confirmed(tested, full, percent), "links")
+    parts = stage(components(links), "components")
+    for best in (BEST, None):
+        pairs = stage(_apart(postings, nodes, parts, percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = stage(_confirmed(pairs, full, percent), "links")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            parts = stage(components(links), "components")
+        tested = tested.unionByName(pairs)
     of_set = nodes.select(*name, "node").join(parts.toDF("node", "c"), "node", "left").select(*name, F.coalesce("c", "node").alias("c"))
     # One set may have several names for its first document only if ids repeat; the smallest counts.
     of_set = of_set.groupBy(*name).agg(F.min("c").alias("c"))
