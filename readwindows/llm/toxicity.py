@@ -8,7 +8,7 @@ so the trained machine folds into one weight per subsequence, and a string is sc
 without meeting the landmarks again.
 
 The labels belong to whole texts, the insults to single strings of them: training starts
-from the strings that explain most toxic texts, and then, as in multiple-instance learning,
+from the strings that mark toxic texts, near copies of one text counted once, and then, as in multiple-instance learning,
 takes the string that the machine finds most toxic from each toxic text. A text scores as
 its most toxic string does; a logistic curve fitted on training texts turns that into 0..1.
 
@@ -21,9 +21,12 @@ is the rate of toxic ones; extra columns are ignored, repeated rows are scored a
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from readwindows.session import stage
 #: Labelled rows used in training, in expectation; drawn by a hash of their id.
 SAMPLE = 20_000
 #: Of these, toxic texts whose strings the driver sees; clean strings it sees.
-TOXIC_TEXTS, CLEAN_STRINGS, HARD_STRINGS = 3_000, 20_000, 4_000
+TOXIC_TEXTS, CLEAN_STRINGS, HARD_STRINGS = 3_000, 10_000, 4_000
 LANDMARKS = 96
 DECAY, SPAN, WIDTH = 0.7, 7, 24
 THRESHOLD = 0.7
@@ -50,6 +53,10 @@ _EDGES = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?[\\]^_`{|}~«»“”‘
 
 _SYMBOLS = np.zeros(0x110000, dtype=np.int16)
 _SYMBOLS[0xAA:] = 27 + np.arange(0xAA, 0x110000) % 4
+for _sign in range(0xC0, 0x250):  # accented Latin letters count as their base letters
+    _base = unicodedata.normalize("NFKD", chr(_sign).lower())[0]
+    if "a" <= _base <= "z":
+        _SYMBOLS[_sign] = ord(_base) - ord("a") + 1
 _SYMBOLS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 for _sign, _letter in LOOKALIKES.items():
     _SYMBOLS[ord(_sign)] = ord(_letter) - ord("a") + 1
@@ -142,7 +149,8 @@ def _spread(words: list[str], n: int) -> list[str]:
     """``n`` strings, each as unlike the ones before it as any."""
     if len(words) <= n:
         return words
-    x = _dense(words[: 40 * n])
+    words = words[:: max(1, len(words) // (8 * n))]
+    x = _dense(words)
     near = np.zeros(len(x))
     chosen = [0]
     while len(chosen) < n:
@@ -152,24 +160,25 @@ def _spread(words: list[str], n: int) -> list[str]:
     return [words[i] for i in chosen]
 
 
-def _fit(toxic: list[str], clean: list[str]) -> Machine:
-    """Squared-hinge machine in Nyström space by Newton steps, folded into subsequence weights."""
+def _fit(toxic: dict[str, int], clean: dict[str, int]) -> Machine:
+    """Squared-hinge machine in Nyström space by Newton steps, folded into subsequence weights.
+
+    Every string counts as often as there are texts of its class that hold it.
+    """
     half = LANDMARKS // 2
-    landmarks = _spread(toxic, half) + _spread(clean, half)
+    landmarks = _spread(list(toxic), half) + _spread(list(clean), half)
     basis = _dense(landmarks)
     values, vectors = np.linalg.eigh(basis @ basis.T + 1e-6 * np.eye(len(basis)))
     root = vectors / np.sqrt(np.maximum(values, 1e-4))
-    variants = [v for w in toxic for v in (w, ".".join(w), "-".join(w), w[:2] + "x" + w[2:], w[:-2] + "*" + w[-2:]) if len(v) <= WIDTH]
+    forms = ((v, n if v == w else n / 4) for w, n in toxic.items() for v in (w, ".".join(w), "-".join(w), w[:2] + "x" + w[2:], w[:-2] + "*" + w[-2:]))
+    variants = {v: n for v, n in forms if len(v) <= WIDTH}
     blocks = []
-    for words in (variants, clean):
-        for lo in range(0, len(words), 2048):
-            row, number, value = features(words[lo : lo + 2048])
-            k = np.zeros((len(words[lo : lo + 2048]), len(basis)))
-            np.add.at(k, row, value[:, None] * basis.T[number])
-            blocks.append(k @ root)
+    for words in (list(variants), list(clean)):
+        for lo in range(0, len(words), 512):
+            blocks.append(_dense(words[lo : lo + 512]) @ basis.T @ root)
     x = np.hstack([np.vstack(blocks), np.ones((len(variants) + len(clean), 1))])
     y = np.repeat([1.0, -1.0], [len(variants), len(clean)])
-    c = np.where(y > 0, 1 / len(variants), 3 / len(clean))
+    c = np.array([*variants.values(), *clean.values()]) / sum(variants.values())
     ridge = 1e-4 * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-8
     w = np.zeros(x.shape[1])
@@ -183,25 +192,29 @@ def _fit(toxic: list[str], clean: list[str]) -> Machine:
     return Machine((root @ w[:-1]) @ basis, float(w[-1]))
 
 
-def _explaining(texts: list[set[str]], clean_rate: dict[str, float]) -> list[str]:
-    """Strings that between them occur in most toxic texts and hardly in clean ones, best first."""
-    holders: dict[str, set[int]] = {}
-    for i, found in enumerate(texts):
-        for w in found:
-            if len(w) >= 4:
-                holders.setdefault(w, set()).add(i)
-    holders = {w: h for w, h in holders.items() if len(h) >= 2 and clean_rate.get(w, 0.0) < 0.1 * len(h) / len(texts)}
-    chosen, left = [], set(range(len(texts)))
-    by_count = sorted(holders, key=lambda w: (-len(holders[w]), w))
-    while by_count:
-        by_count = [w for w in by_count if len(holders[w] & left) >= max(2, len(texts) // 500)]
-        if not by_count:
-            break
-        best = max(by_count, key=lambda w: (len(holders[w] & left), w))
-        chosen.append(best)
-        left -= holders[best]
-        by_count.remove(best)
-    return chosen
+def _unlike(texts: list[set[str]]) -> list[set[str]]:
+    """The texts without near copies of earlier ones: those that share two of eight minima of their string hashes."""
+    salts = np.random.default_rng(4).integers(1, 1 << 32, 8, dtype=np.uint64) | np.uint64(1)
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for found in texts:
+        hashes = np.array([crc32(w.encode()) for w in found if len(w) >= 4] or [len(seen)], dtype=np.uint64)
+        minima = {(k, int(((hashes * salt) & np.uint64(0xFFFFFFFF)).min())) for k, salt in enumerate(salts)}
+        if len(minima & seen) < 2:
+            out.append(found)
+        seen |= minima
+    return out
+
+
+def _marking(texts: list[set[str]], clean_rate: dict[str, float], n_clean: int) -> list[str]:
+    """Strings that occur in far more toxic texts than their rate in clean ones explains."""
+    holders = Counter(w for found in texts for w in found if len(w) >= 4)
+    out = []
+    for w, n in holders.items():
+        expected = len(texts) * (clean_rate.get(w, 0.0) + 1 / (n_clean + 2))
+        if n >= 4 + expected + 5 * expected**0.5 and clean_rate.get(w, 0.0) < 0.05 * n / len(texts):
+            out.append((-n, w))
+    return [w for _, w in sorted(out)]
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -244,36 +257,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         texts.setdefault(r.doc_id, set()).add(r.string)
     clean = held.where("toxic = 0").groupBy("string").agg(F.count("*").alias("n"))
     rates = {r.string: r.n / n_clean for r in clean.join(bags.select("string").distinct(), "string", "left_semi").collect()}
-    harmless = [r.string for r in clean.orderBy(F.xxhash64("string")).limit(CLEAN_STRINGS).collect()]
-    harmless += [w for w, _ in sorted(rates.items(), key=lambda x: (-x[1], x[0]))[:CLEAN_STRINGS]]
-    bag_list = list(texts.values())
-    insults = _explaining(bag_list, rates)
-    if not insults:
-        insults = sorted(set(chain.from_iterable(bag_list)) - set(rates))[:LANDMARKS]
-    insults = insults or ["toxic"]
+    harmless = {r.string: r.n for r in clean.orderBy(F.xxhash64("string")).limit(CLEAN_STRINGS).collect()}
+    harmless |= {w: round(x * n_clean) for w, x in sorted(rates.items(), key=lambda x: (-x[1], x[0]))[:CLEAN_STRINGS]}
+    bag_list = _unlike([texts[i] for i in sorted(texts)])
+    holders = Counter(chain.from_iterable(bag_list))
+    known = set(_marking(bag_list, rates, n_clean)) or set(sorted(set(holders) - set(rates))[:LANDMARKS]) or {"toxic"}
     for _ in range(2):
-        known = set(insults)
-        harmless = sorted(set(harmless) - known)
-        machine = _fit(insults, harmless)
-        # The clean strings that this machine finds most toxic teach the next one.
-        sent, tough = machine, clean.select("string")
+        machine = _fit({w: max(holders[w], 1) for w in sorted(known)}, {w: n for w, n in sorted(harmless.items()) if w not in known})
+        sent = machine
 
         def judge(batches, sent=sent):
             for batch in batches:
-                words = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_pydict({"string": batch.column(0), "margin": pa.array(sent.margins(words), pa.float64())})
+                margins = sent.margins(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_pydict({"string": batch.column(0), "n": batch.column(1), "margin": pa.array(margins, pa.float64())})
 
-        hard = tough.mapInArrow(judge, "string string, margin double").orderBy(F.desc("margin"), "string").limit(HARD_STRINGS).collect()
-        harmless = sorted((set(harmless) | {r.string for r in hard}) - known)
-        # From each toxic text the most toxic string, if the machine is sure of it and clean texts lack it.
-        flat = sorted(set(chain.from_iterable(bag_list)) - set(rates))
+        # The clean strings that this machine finds most toxic teach the next one.
+        hard = clean.mapInArrow(judge, "string string, n long, margin double").orderBy(F.desc("margin"), "string").limit(HARD_STRINGS)
+        harmless |= {r.string: r.n for r in hard.collect()}
+        # From each toxic text the most toxic string, if several such texts hold it and no clean one does.
+        flat = sorted(w for w, n in holders.items() if n >= 3 and len(w) >= 4 and w not in rates)
         margin = dict(zip(flat, machine.margins(flat).tolist(), strict=True))
         for found in bag_list:
             best = max((w for w in found if w in margin), key=lambda w: (margin[w], w), default=None)
-            if best and margin[best] > 0 and len(best) >= 4:
+            if best and margin[best] > 0:
                 known.add(best)
-        insults = sorted(known)
-    machine = _fit(insults, sorted(set(harmless) - set(insults)))
+    machine = _fit({w: max(holders[w], 1) for w in sorted(known)}, {w: n for w, n in sorted(harmless.items()) if w not in known})
     return _calibrated(machine, rows)
 
 
@@ -286,13 +294,15 @@ def _calibrated(machine: Machine, rows: DataFrame) -> Machine:
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.column_stack([m, np.ones(len(m))])
     w = np.array([1.0, 0.0])
-    for _ in range(100):
+    for turn in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        gradient = x.T @ (p - target) + np.array([1e-3, 0]) * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        # Labels are noisy: after some turns, toxic texts without any toxic string no longer pull at the curve.
+        use = np.where((y > 0) & (p < 0.2) & (turn >= 10), 0.0, 1.0)
+        gradient = x.T @ (use * (p - target)) + np.array([1e-3, 0]) * w
+        hessian = (x * (use * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         w = w - step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-8 and turn > 20:
             break
     return Machine(machine.weights.astype(np.float32), machine.offset, float(max(w[0], 0.0)), float(w[1]))
 
