@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.llm import decontaminate, minhash, toxicity
+from readwindows.llm import decontaminate, minhash, repeats, toxicity
 from readwindows.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,31 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its two-word shingles and the component of near duplicates it belongs to."""
     return minhash.membership(read(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes that an earlier document has in strings of 50, and what is kept."""
+    return repeats.without_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLES["op2_suffix_array_dedup"] = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+grams AS (
+  SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) / 2 AS BIGINT) - 49)) AS p FROM raw WHERE len(h) >= 100)
+), late AS (
+  SELECT doc_id, p FROM grams JOIN (SELECT g, min(doc_id) AS first FROM grams GROUP BY g HAVING min(doc_id) < max(doc_id)) USING (g) WHERE doc_id > first
+), heads AS (
+  SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, TRUE) AS new FROM late
+), numbered AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM heads),
+spans AS (SELECT doc_id, k, min(p) AS s, max(p) + 50 AS e FROM numbered GROUP BY doc_id, k),
+gaps AS (
+  SELECT doc_id, k, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS prev FROM spans
+), cut AS (
+  SELECT g.doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (s - prev)), '' ORDER BY k) || substr(any_value(h), 2 * max(e) + 1) AS kept, sum(e - s) AS n_removed, count(*) AS n_spans
+  FROM gaps g JOIN raw r ON g.doc_id = r.doc_id GROUP BY g.doc_id
+)
+SELECT r.doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM raw r LEFT JOIN cut USING (doc_id)
+"""
