@@ -2,7 +2,8 @@
 
 Texts with equal shingle sets are one node. A node posts itself under each of its
 ``COORDINATES`` (coordinate, value) pairs. Two sets of similarity 0.8 agree in at least
-``MATCHES`` of 64 coordinates but for about one pair in a million. So
+``MATCHES`` of 64 coordinates, and in ``ALL_MATCHES`` of 256, but for some pairs in a
+million. So
 
 * a node with fewer than ``MATCHES`` pairs that occur elsewhere has no partner;
 * of the others, any two partners meet under one of the rarest pairs of each, the prefix:
@@ -36,9 +37,11 @@ from readwindows.session import stage
 
 WORDS, PERCENT = 5, 80
 COORDINATES, MATCHES = 64, 36
+#: One byte of each of these more coordinates only serves to compare two signatures.
+MORE, ALL_MATCHES = 192, 172
 BEST, BLOCK = 4, 1024
 #: Fixed random odd multipliers of the coordinates.
-_MULTIPLIERS = np.random.default_rng(10).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(10).integers(1, 1 << 63, COORDINATES + MORE, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 _SKETCH = "doc_id long, n long, set_a long, set_b long, signature binary"
@@ -74,9 +77,14 @@ def _reduce(function: np.ufunc, values: np.ndarray, at: np.ndarray, empty: int)
 
 
 def _signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.empty((len(at) - 1, COORDINATES), dtype=np.uint32)
+    """Per row 4 bytes of each of the first coordinates, then one of each other."""
+    out = np.empty((len(at) - 1, 4 * COORDINATES + MORE), dtype=np.uint8)
     for k, multiplier in enumerate(_MULTIPLIERS):
-        out[:, k] = _reduce(np.minimum, ((values * multiplier) >> np.uint64(32)).astype(np.uint32), at, 0)
+        least = _reduce(np.minimum, ((values * multiplier) >> np.uint64(32)).astype(np.uint32), at, 0)
+        if k < COORDINATES:
+            out[:, 4 * k : 4 * k + 4] = least.astype("<u4").view(np.uint8).reshape(-1, 4)
+        else:
+            out[:, 3 * COORDINATES + k] = least.astype(np.uint8)
     return out
 
 
@@ -90,16 +98,24 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 values, at = shingles(texts[lo:hi], words)
                 names = [_reduce(np.add, T.mix(values ^ np.uint64(salt)), at, 0).view(np.int64) for salt in (0, 0x5851F42D4C957F2D)]
                 raw = pa.py_buffer(_signatures(values, at).tobytes())
-                signature = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES), hi - lo, [None, raw]).cast(pa.binary())
+                signature = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES + MORE), hi - lo, [None, raw]).cast(pa.binary())
                 columns = [batch.column(0)[lo:hi], pa.array(np.diff(at)), *map(pa.array, names), signature]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _SKETCH_ARROW, strict=True)], schema=_SKETCH_ARROW)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures' first coordinates, and the bytes of the others."""
     data, _ = T.flat(column.cast(pa.large_binary()))
-    return data.view(np.uint32).reshape(-1, COORDINATES)
+    rows = data.reshape(-1, 4 * COORDINATES + MORE)
+    return np.ascontiguousarray(rows[:, : 4 * COORDINATES]).view("<u4"), rows[:, 4 * COORDINATES :]
+
+
+def _alike(s: tuple[np.ndarray, np.ndarray], t: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Coordinates in which the rows agree, or 0 where these are too few for a link."""
+    first, more = (s[0] == t[0]).sum(axis=1), (s[1] == t[1]).sum(axis=1)
+    return np.where((first >= MATCHES) & (first + more >= ALL_MATCHES), first + more, 0)
 
 
 def _tokens(nodes: DataFrame) -> DataFrame:
@@ -109,20 +125,24 @@ def _tokens(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                values = _matrix(part.column(1)).astype(np.int64) | (np.arange(COORDINATES, dtype=np.int64) << 32)
+                values = _matrix(part.column(1))[0].astype(np.int64) | (np.arange(COORDINATES, dtype=np.int64) << 32)
                 yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(part.column(0).to_numpy(), COORDINATES)), "token": pa.array(values.ravel())})
 
     return nodes.select("node", "signature").mapInArrow(run, "node long, token long")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(token, node, n): the rarest shared pairs of the nodes that may have a partner."""
+    """(token, node, prefix, n): the rarest shared pairs of the nodes that may have a partner.
+
+    ``prefix`` has a bit for each coordinate whose pair is among these.
+    """
     tokens = _tokens(nodes)
     shared = tokens.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
     held = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("holders", "token")).alias("held"))
     able = held.where(F.size("held") >= MATCHES)
-    prefix = able.select("node", F.explode(F.expr(f"slice(array_sort(held), 1, size(held) - {MATCHES} + 1)")).alias("p"))
-    return prefix.select("p.token", "node").join(nodes.select("node", "n"), "node")
+    rare = able.select("node", F.expr(f"slice(array_sort(held), 1, size(held) - {MATCHES} + 1).token").alias("rare"))
+    bits = F.expr("aggregate(rare, 0L, (bits, token) -> bits | shiftleft(1L, cast(shiftright(token, 32) as int)))")
+    return rare.select(F.explode("rare").alias("token"), "node", bits.alias("prefix")).join(nodes.select("node", "n"), "node")
 
 
 def _near(a: str, b: str, percent: int) -> str:
@@ -142,7 +162,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            same = (_matrix(batch.column("s")) == _matrix(batch.column("t"))).sum(axis=1) >= MATCHES
+            same = _alike(_matrix(batch.column("s")), _matrix(batch.column("t"))) > 0
             yield batch.select(["a", "b"]).filter(pa.array(same))
 
     return both.mapInArrow(run, "a long, b long").distinct()
@@ -214,7 +234,7 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _apart(postings: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Agreeing pairs of nodes that meet under a token but lie in different components.
 
-    Of each node's partners in one foreign component only the ``best``, if that is given.
+    Of each node's partners under a token only the ``best`` ones, if that is given.
     """
     now = postings.join(parts.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = now.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
@@ -222,14 +242,15 @@ def _apart(postings: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # Block (i, j) holds the rows of both, so that any two rows meet in one task.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "c", "n")
-    rows = rows.join(nodes.select("node", "signature"), "node").select("token", "i", "j", "mine", "node", "c", "n", "signature")
+    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "c", "n", "prefix")
+    rows = rows.join(nodes.select("node", "signature"), "node").select("token", "i", "j", "mine", "node", "c", "n", "prefix", "signature")
 
     def run(batches):
         for group in _by_key(batches):
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            mine, node, c, n = (group.column(k).to_numpy() for k in ("mine", "node", "c", "n"))
+            mine, node, c, n, prefix = (group.column(k).to_numpy() for k in ("mine", "node", "c", "n", "prefix"))
             sign = _matrix(group.column("signature").combine_chunks())
+            here = np.int64(1) << np.int64(group.column("token")[0].as_py() >> 32)
             left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
             out_a, out_b = [], []
             for x in left:
@@ -237,13 +258,14 @@ def _apart(postings: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int
                 y = y[(c[y] != c[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
                 if not len(y):
                     continue
-                same = (sign[y] == sign[x]).sum(axis=1)
-                y, same = y[same >= MATCHES], same[same >= MATCHES]
-                if best is not None and len(y):
-                    order = np.lexsort((node[y], -same, c[y]))
-                    foreign = c[y][order]
-                    rank = np.arange(len(order)) - np.searchsorted(foreign, foreign, "left")
-                    y = y[order[rank < best]]
+                same = _alike((sign[0][y], sign[1][y]), (sign[0][x], sign[1][x]))
+                y, same = y[same > 0], same[same > 0]
+                # A pair that meets under several tokens counts under the first.
+                bits = ((sign[0][y] == sign[0][x]) << np.arange(COORDINATES)).sum(axis=1) & prefix[y] & prefix[x]
+                first = (bits & -bits) == here
+                y, same = y[first], same[first]
+                if best is not None and len(y) > best:
+                    y = y[np.lexsort((node[y], -same))[:best]]
                 out_a.append(np.full(len(y), node[x]))
                 out_b.append(node[y])
             if out_a:
