@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task handles at once; a longer single text is a piece of its own.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Odd multiplier of the polynomial fingerprints modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = pow(int(BASE), -1, 1 << 64)
