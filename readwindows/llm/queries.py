@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.llm import decontaminate, minhash, repeats, toxicity
+from readwindows.llm import decontaminate, minhash, mixing, repeats, toxicity
 from readwindows.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,38 @@ gaps AS (
 SELECT r.doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM raw r LEFT JOIN cut USING (doc_id)
 """
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its size, its source's size and target, and how many words the mix takes of it."""
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+ORACLES["op9_mixing"] = r"""
+WITH quality AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    -ln((CAST('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+      / CASE q WHEN 0 THEN 0.5 WHEN 1 THEN 2.0 ELSE 1.0 END AS key
+  FROM documents LEFT JOIN quality USING (doc_id)
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([3, 1, 2][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS DOUBLE) AS w,
+    CAST(2 * sum(size) AS DOUBLE) AS cap
+  FROM d GROUP BY source
+), l AS (
+  -- The level at which shares, cut at the caps, use up the total.
+  SELECT max(level) AS level FROM (
+    SELECT (CAST((SELECT sum(source_size) FROM s) AS DOUBLE) * 1.5 - coalesce((SELECT sum(b.cap) FROM s b WHERE b.cap / b.w < a.cap / a.w), 0)) / (SELECT sum(b.w) FROM s b WHERE b.cap / b.w >= a.cap / a.w) AS level, a.cap / a.w AS r FROM s a
+  ) WHERE level <= r
+), t AS (
+  SELECT source, source_size, least(cap, coalesce(w * level, cap)) AS target FROM s, l
+), b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
+), o AS (
+  SELECT doc_id, size, source_size, target, epochs, CAST(round(target) AS BIGINT) - epochs * source_size AS budget,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - before)) AS BIGINT) AS taken FROM o
+"""
