@@ -21,6 +21,7 @@ is the rate of toxic ones; extra columns are ignored, repeated rows are scored a
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ from readwindows.session import stage
 #: Labelled rows used in training, in expectation; drawn by a hash of their id.
 SAMPLE = 20_000
 #: Of these, toxic texts whose strings the driver sees; clean strings it sees.
-TOXIC_TEXTS, CLEAN_STRINGS, HARD_STRINGS = 3_000, 10_000, 4_000
+TOXIC_TEXTS, CLEAN_STRINGS, HARD_STRINGS = 1_500, 10_000, 4_000
 LANDMARKS = 96
 DECAY, SPAN, WIDTH = 0.7, 7, 24
 THRESHOLD = 0.7
@@ -174,8 +175,8 @@ def _fit(toxic: dict[str, int], clean: dict[str, int]) -> Machine:
     variants = {v: n for v, n in forms if len(v) <= WIDTH}
     blocks = []
     for words in (list(variants), list(clean)):
-        for lo in range(0, len(words), 512):
-            blocks.append(_dense(words[lo : lo + 512]) @ basis.T @ root)
+        for lo in range(0, len(words), 256):
+            blocks.append(_dense(words[lo : lo + 256]) @ basis.T @ root)
     x = np.hstack([np.vstack(blocks), np.ones((len(variants) + len(clean), 1))])
     y = np.repeat([1.0, -1.0], [len(variants), len(clean)])
     c = np.array([*variants.values(), *clean.values()]) / sum(variants.values())
@@ -234,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     ids = labels.where("toxic is not null").agg(F.count("*")).first()[0]
     share = min(1.0, sample / max(ids, 1))
     marks = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = labelled(docs, marks).limit(2 * sample)
+    rows = labelled(docs, marks)
 
     def cut(batches):
         for batch in batches:
@@ -253,10 +254,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     few = held.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(TOXIC_TEXTS)
     bags = held.join(F.broadcast(few), "doc_id").where("toxic = 1")
     texts: dict[int, set[str]] = {}
-    for r in bags.select("doc_id", "string").collect():
-        texts.setdefault(r.doc_id, set()).add(r.string)
+    held_by = bags.groupBy("doc_id").agg(F.collect_set("string").alias("strings")).toArrow()
+    for i, found in zip(held_by.column("doc_id").to_pylist(), held_by.column("strings"), strict=True):
+        texts[i] = set(map(sys.intern, found.as_py()))
+    del held_by
     clean = held.where("toxic = 0").groupBy("string").agg(F.count("*").alias("n"))
-    rates = {r.string: r.n / n_clean for r in clean.join(bags.select("string").distinct(), "string", "left_semi").collect()}
+    both = clean.join(bags.select("string").distinct(), "string", "left_semi").toArrow()
+    rates = {sys.intern(w): n / n_clean for w, n in zip(both.column("string").to_pylist(), both.column("n").to_pylist(), strict=True)}
     harmless = {r.string: r.n for r in clean.orderBy(F.xxhash64("string")).limit(CLEAN_STRINGS).collect()}
     harmless |= {w: round(x * n_clean) for w, x in sorted(rates.items(), key=lambda x: (-x[1], x[0]))[:CLEAN_STRINGS]}
     bag_list = _unlike([texts[i] for i in sorted(texts)])
