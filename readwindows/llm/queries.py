@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.llm import decontaminate, minhash, mixing, repeats, secrets, toxicity
+from readwindows.llm import decontaminate, minhash, mixing, repeats, secrets, toxicity, warc
 from readwindows.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate in every text, and whether the forest takes it for a secret."""
     docs = read(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(docs))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: what its record in the archive says of its payload."""
+    found = warc.round_trip(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
