@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.llm import decontaminate, minhash, mixing, repeats, secrets, toxicity, warc
+from readwindows.llm import decontaminate, minhash, mixing, repeats, secrets, toxicity, urlfilter, warc
 from readwindows.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: what its record in the archive says of its payload."""
     found = warc.round_trip(read(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its url's host and path, the curated rule that fits, and the verdict."""
+    return urlfilter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
