@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.llm import decontaminate, minhash, mixing, repeats, secrets, toxicity, urlfilter, warc
+from readwindows.llm import decontaminate, extract, minhash, mixing, repeats, secrets, toxicity, urlfilter, warc
 from readwindows.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: its url's host and path, the curated rule that fits, and the verdict."""
     return urlfilter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its main text."""
+    pages = read(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.train(pages))
