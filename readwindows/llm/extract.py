@@ -20,6 +20,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -39,7 +40,7 @@ RAW_TAGS = frozenset(("script", "style", "textarea", "title"))
 #: Tags that end an open one of the given kinds.
 _CLOSES = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 _KEEPERS = frozenset("ul ol table dl select article section div main body nav aside footer header form blockquote".split())
-_TYPICAL = re.compile(r"(?i)cookie|subscrib|advert|sponsor|comment|reply|repl(?:y|ies)|share|login|log in|sign|newsletter|copyright|©|privacy|related|menu|search|accept|posted|says")
+_TYPICAL = tuple("cookie subscri advert sponsor comment reply replies share login sign newsletter copyright © privacy related menu search accept posted says".split())
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z))", re.S)
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PIECE = re.compile(r"[A-Za-z]+")
@@ -115,15 +116,23 @@ def blocks(page: str) -> list[Block]:
 
 
 def _buckets(block: Block) -> Iterator[str]:
-    words = block.text.split(" ")
-    yield f"words:{min(len(words), 64).bit_length()}"
-    yield f"letters:{min(len(block.text), 2048).bit_length()}"
-    yield f"links:{round(4 * block.linked / len(block.text))}"
-    signs = sum(c in ".,;:!?" for c in block.text)
-    yield f"signs:{min(signs, 8).bit_length()}"
-    yield f"ends:{block.text[-1] in '.!?'}"
-    yield f"upper:{block.text[:1].isupper()}"
-    yield f"digits:{round(4 * sum(c.isdigit() for c in block.text) / len(block.text))}"
+    text = block.text
+    yield f"words:{min(text.count(' ') + 1, 64).bit_length()}"
+    yield f"letters:{min(len(text), 2048).bit_length()}"
+    yield f"links:{round(4 * block.linked / len(text))}"
+    yield f"signs:{min(sum(map(text.count, '.,;:!?')), 8).bit_length()}"
+    yield f"ends:{text[-1] in '.!?'}"
+    yield f"upper:{text[:1].isupper()}"
+    yield f"digits:{round(4 * sum(map(text.count, '0123456789')) / len(text))}"
+    low = text.lower()
+    for word in _TYPICAL:
+        if word in low:
+            yield f"word:{word}"
+
+
+@lru_cache(maxsize=1 << 16)
+def _slot(name: str) -> int:
+    return crc32(name.encode()) % SLOTS
 
 
 def features(found: list[Block]) -> list[np.ndarray]:
@@ -135,13 +144,12 @@ def features(found: list[Block]) -> list[np.ndarray]:
         names.add(f"own:{tags[-1] if tags else ''}")
         names.add(f"two:{'/'.join(tags[-2:])}")
         names.update(_buckets(block))
-        names.update(f"word:{w.lower()}" for w in _TYPICAL.findall(block.text)[:20])
         names.add("first" if k == 0 else "last" if k == len(found) - 1 else "inner")
         for step, near in (("before", k - 1), ("after", k + 1)):
             if 0 <= near < len(found):
                 near_tags = [w for w in found[near].above if w[0] == "t"]
                 names.add(f"{step}:{near_tags[-1] if near_tags else ''}")
-        out.append(np.array(sorted({crc32(x.encode()) % SLOTS for x in names})))
+        out.append(np.array(list({_slot(x) for x in names})))
     return out
 
 
@@ -247,8 +255,9 @@ def _made(rng: np.random.Generator, content: list[str], other: list[str]) -> tup
     page: list[Block] = []
     labels: list[int] = []
 
-    def part() -> None:
+    def part(under: str = "") -> None:
         above, say, links = pick(_PARTS)
+        above = f"{under} {above}".strip()
         for _ in range(int(rng.integers(1, 6))):
             # Comments and side bars read like articles: their text is from the same pages.
             text = pick(content) if rng.random() < 0.3 else pick(other)
@@ -264,7 +273,7 @@ def _made(rng: np.random.Generator, content: list[str], other: list[str]) -> tup
         page.append(Block(("t:html", "t:body", *body.split(" "), *above.split(" ")), text, 0 if rng.random() < 0.9 else len(text) // 4))
         labels.append(1)
         if rng.random() < 0.08:
-            part()
+            part(body if rng.random() < 0.7 else "")
     for _ in range(int(rng.integers(1, 4))):
         part()
     return page, labels

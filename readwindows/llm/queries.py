@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.llm import decontaminate, extract, minhash, mixing, repeats, secrets, toxicity, urlfilter, warc
+from readwindows.llm import decontaminate, extract, minhash, mixing, repeats, search, secrets, toxicity, urlfilter, warc
 from readwindows.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: its main text."""
     pages = read(spark, sf_dir, "pages")
     return extract.extract(pages, extract.train(pages))
+
+
+@query
+def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the whole text of every document whose id is divisible by 50."""
+    docs = read(spark, sf_dir, "documents")
+    return search.search(docs, docs.where(F.col("doc_id") % search.EVERY == 0))
