@@ -5,8 +5,8 @@ by their first ``window`` words; every benchmark suffix is found in it by binary
 which gives all its occurrences. Only suffixes that begin with enough words of the
 benchmark's own vocabulary are put into the array: no other one can match.
 
-The benchmark travels to the tasks in blocks of at most ``BLOCK`` bytes of text. Documents
-pass one block after another without any shuffle, so a benchmark of any size is exact.
+The benchmark travels to the tasks in blocks of about ``BLOCK`` bytes of text. Documents pass
+one block after another, written in between, without any shuffle: a benchmark of any size is exact.
 
 Defined cases: null and empty texts have no words; a benchmark row without words, or with
 a null id, finds nothing; equal ids count once; rows of ``docs`` are judged one by one, so
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from readwindows.llm import text as T
 from readwindows.llm.frames import free_name
+from readwindows.session import stage
 
 WINDOW = 13
 #: A document is contaminated if so many per cent of its words are hit.
@@ -176,7 +177,9 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block:
     hits_name, items_name = free_name(docs, "hits"), free_name(docs, "items")
     out = docs.withColumns({hits_name: F.array().cast("array<long>"), items_name: F.array().cast("array<string>")})
     at = docs.columns.index("text")
-    for items in _blocks(benchmark, block):
+    for k, items in enumerate(_blocks(benchmark, block)):
+        if k:  # one block's searchers at a time
+            out = stage(out, "hits")
         sent = spark.sparkContext.broadcast(TestSuffixes(items, window))
 
         def search(batches, sent=sent):
