@@ -145,10 +145,6 @@ def features(found: list[Block]) -> list[np.ndarray]:
         names.add(f"two:{'/'.join(tags[-2:])}")
         names.update(_buckets(block))
         names.add("first" if k == 0 else "last" if k == len(found) - 1 else "inner")
-        for step, near in (("before", k - 1), ("after", k + 1)):
-            if 0 <= near < len(found):
-                near_tags = [w for w in found[near].above if w[0] == "t"]
-                names.add(f"{step}:{near_tags[-1] if near_tags else ''}")
         out.append(np.array(list({_slot(x) for x in names})))
     return out
 
@@ -272,7 +268,7 @@ def _made(rng: np.random.Generator, content: list[str], other: list[str]) -> tup
         above = "t:h1" if k == 0 else pick([inner for b, inner in _BODIES if b == body] + ["t:p", "t:p", "t:p"])
         page.append(Block(("t:html", "t:body", *body.split(" "), *above.split(" ")), text, 0 if rng.random() < 0.9 else len(text) // 4))
         labels.append(1)
-        if rng.random() < 0.08:
+        if rng.random() < 0.12:
             part(body if rng.random() < 0.7 else "")
     for _ in range(int(rng.integers(1, 4))):
         part()
