@@ -17,7 +17,7 @@ rows without hits.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -160,77 +160,66 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[np.concatenate((new[1:], [len(starts)])) - 1]
 
 
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in lists of some ``block`` bytes of text, one list in the driver at a time."""
+def _blocks(benchmark: DataFrame, block: int) -> Iterator[Callable[[], list[tuple[str, str]]]]:
+    """Readers of the items in lists of some ``block`` bytes of text, so that one list is in the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("t"))
     items = items.where("id is not null and t is not null")
     total = items.agg(F.sum(F.octet_length("t") + F.octet_length("id"))).first()[0] or 0
     n = ceil(total / block) or 1
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == b)
-        yield [(r.id, r.t) for r in part.collect()]
+        yield lambda part=part: [(r.id, r.t) for r in part.collect()]
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, str, str]:
-    """``docs`` with two more columns, and their names: flat word ranges of the matches, and the items found."""
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block: int, finish, schema) -> DataFrame:
+    """``docs`` past all blocks; ``finish`` turns the rows, their words, hits and items of the last one into the result."""
     spark = docs.sparkSession
     hits_name, items_name = free_name(docs, "hits"), free_name(docs, "items")
     out = docs.withColumns({hits_name: F.array().cast("array<long>"), items_name: F.array().cast("array<string>")})
     at = docs.columns.index("text")
-    for k, items in enumerate(_blocks(benchmark, block)):
-        if k:  # one block's searchers at a time
-            out = stage(out, "hits")
-        sent = spark.sparkContext.broadcast(TestSuffixes(items, window))
+    blocks = list(_blocks(benchmark, block))
+    for k, items in enumerate(blocks):
+        sent = spark.sparkContext.broadcast(TestSuffixes(items(), window))
+        last = k == len(blocks) - 1
 
-        def search(batches, sent=sent):
+        def search(batches, sent=sent, last=last):
             for batch in batches:
-                texts = T.binary(batch.column(at))
-                for lo, hi in T.pieces(texts):
-                    _, hits, names = _hits(texts[lo:hi], sent.value)
+                for lo, hi in T.pieces(batch.column(at)):
                     old = batch.slice(lo, hi - lo)
+                    n_words, hits, names = _hits(T.binary(old.column(at)), sent.value)
                     *kept, held_hits, held_items = old.columns
                     hits = [a + b for a, b in zip(held_hits.to_pylist(), hits, strict=True)]
                     names = [a + b for a, b in zip(held_items.to_pylist(), names, strict=True)]
-                    columns = [*kept, pa.array(hits, held_hits.type), pa.array(names, held_items.type)]
-                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                    if last:
+                        yield finish(pa.RecordBatch.from_arrays(kept, names=batch.schema.names[:-2]), n_words.tolist(), hits, names)
+                    else:
+                        yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, held_hits.type), pa.array(names, held_items.type)], names=batch.schema.names)
 
-        out = out.mapInArrow(search, out.schema)
-    return out, hits_name, items_name
+        out = out.mapInArrow(search, schema if last else out.schema)
+        if not last:  # one block's searchers at a time
+            out = stage(out, "hits")
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share_percent: int = SHARE_PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: words, hit words, items found, the verdict, and where the matches lie."""
-
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found, hits, items = matched(narrow, benchmark, window, block)
-
-    def judge(batches):
-        for batch in batches:
-            texts = T.binary(batch.column("text"))
-            for lo, hi in T.pieces(texts):
-                data, at = T.spaced(texts[lo:hi])
-                starts, _ = T.words(data, T.ALNUM)
-                old = batch.slice(lo, hi - lo)
-                rows = zip(old.column("doc_id").to_pylist(), np.diff(np.searchsorted(starts, at)).tolist(), old.column(hits).to_pylist(), old.column(items).to_pylist(), strict=True)
-                yield pa.RecordBatch.from_pylist([_verdict(*row, share_percent) for row in rows], schema=_RESULT_ARROW)
-
-    return found.mapInArrow(judge, RESULT)
-
-
-def _verdict(doc_id: int | None, n_words: int, hits: list[int], items: list[str], share_percent: int) -> dict:
-    pairs = np.array(hits, dtype=np.int64).reshape(-1, 2)
-    begin, end = _merged(pairs[:, 0], pairs[:, 1]) if len(pairs) else (pairs[:, 0], pairs[:, 1])
-    n_hit, names = int((end - begin).sum()), sorted(set(items))
-    return {
-        "doc_id": doc_id,
-        "n_words": n_words,
-        "n_hit": n_hit,
-        "n_items": len(names),
-        "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(),
-        "contaminated": n_hit > 0 and 100 * n_hit >= share_percent * n_words,
-        "longest_match": int((end - begin).max()) if len(begin) else 0,
-        "spans": [{"start": int(a), "end": int(b)} for a, b in zip(begin, end, strict=True)],
-    }
+
+    def finish(rows, n_words, hits, names):
+        ids = rows.column("doc_id").to_pylist()
+        return pa.RecordBatch.from_pylist([_verdict(*row, share_percent) for row in zip(ids, n_words, hits, names, strict=True)], schema=_RESULT_ARROW)
+
+    return _searched(narrow, benchmark, window, block, finish, RESULT)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share_percent: int = SHARE_PERCENT, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns, without a shuffle."""
+
+    def finish(rows, n_words, hits, names):
+        clean = [not _verdict(None, n, h, [], share_percent)["contaminated"] for n, h in zip(n_words, hits, strict=True)]
+        return rows.filter(pa.array(clean, pa.bool_()))
+
+    return _searched(docs, benchmark, window, block, finish, docs.schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -239,7 +228,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _blocks(benchmark, block):
-        sent = spark.sparkContext.broadcast(TestSuffixes(items, window))
+        sent = spark.sparkContext.broadcast(TestSuffixes(items(), window))
 
         def search(batches, sent=sent):
             for batch in batches:
@@ -282,22 +271,3 @@ def _matches(column: pa.Array, ids: pa.Array, tests: TestSuffixes) -> pa.RecordB
         pa.array(at[tail] + n[tail] - at[head] if len(head) else empty, pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_start", "item_id", "item_start", "length"])
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share_percent: int = SHARE_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns, without a shuffle."""
-    found, hits, items = matched(docs, benchmark, window)
-    at = docs.columns.index("text")
-
-    def keep(batches):
-        for batch in batches:
-            texts = T.binary(batch.column(at))
-            for lo, hi in T.pieces(texts):
-                data, ends = T.spaced(texts[lo:hi])
-                starts, _ = T.words(data, T.ALNUM)
-                old = batch.slice(lo, hi - lo)
-                n_words = np.diff(np.searchsorted(starts, ends)).tolist()
-                clean = [not _verdict(None, n, h, [], share_percent)["contaminated"] for n, h in zip(n_words, old.column(hits).to_pylist(), strict=True)]
-                yield old.filter(pa.array(clean, pa.bool_()))
-
-    return found.mapInArrow(keep, found.schema).drop(hits, items)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task handles at once; a longer single text is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Odd multiplier of the polynomial fingerprints modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = pow(int(BASE), -1, 1 << 64)
@@ -87,7 +87,7 @@ def spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Row ranges of some ``limit`` bytes; at least one row each."""
-    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     lo = held = 0
     for row, n in enumerate(sizes):
         if held and held + n > limit:

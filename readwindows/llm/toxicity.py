@@ -45,7 +45,7 @@ TOXIC_TEXTS, CLEAN_STRINGS, HARD_STRINGS = 1_500, 10_000, 4_000
 LANDMARKS = 96
 DECAY, SPAN, WIDTH = 0.7, 7, 24
 THRESHOLD = 0.7
-CACHE = 300_000
+CACHE = 150_000
 
 #: Signs often written for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -122,8 +122,8 @@ class Machine:
     def margins(self, words: list[str]) -> np.ndarray:
         """Decision values; a string without any toxic subsequence gets the offset."""
         out = np.full(len(words), self.offset)
-        for lo in range(0, len(words), 8192):
-            part = words[lo : lo + 8192]
+        for lo in range(0, len(words), 2048):
+            part = words[lo : lo + 2048]
             raw = np.zeros(len(part))
             for w, number in _terms(_codes(part)):
                 raw += w * self.weights[number].sum(axis=1)
