@@ -222,6 +222,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return _searched(docs, benchmark, window, block, finish, docs.schema)
 
 
+def _verdict(doc_id: int | None, n_words: int, hits: list[int], items: list[str], share_percent: int) -> dict:
+    pairs = np.array(hits, dtype=np.int64).reshape(-1, 2)
+    begin, end = _merged(pairs[:, 0], pairs[:, 1]) if len(pairs) else (pairs[:, 0], pairs[:, 1])
+    n_hit, names = int((end - begin).sum()), sorted(set(items))
+    return {
+        "doc_id": doc_id,
+        "n_words": n_words,
+        "n_hit": n_hit,
+        "n_items": len(names),
+        "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(),
+        "contaminated": n_hit > 0 and 100 * n_hit >= share_percent * n_words,
+        "longest_match": int((end - begin).max()) if len(begin) else 0,
+        "spans": [{"start": int(a), "end": int(b)} for a, b in zip(begin, end, strict=True)],
+    }
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Every maximal verbatim match of at least ``window`` words (or a whole shorter item), with its place in both texts."""
     spark = docs.sparkSession
