@@ -34,6 +34,7 @@ from readwindows.sources import alignments, bed, fasta, samples
 Query = Callable[[SparkSession, str], DataFrame]
 PARAMS = fixtures.PARAMS
 QUERIES: dict[str, Query] = {}
+FIRST_ROWS = 50
 DIGITS = 9  # decimals of floating point results, on both sides
 
 
@@ -116,11 +117,11 @@ def s4_bam_scan(spark, sf_dir):
 
 
 @query
-def s5_file_cap(spark, sf_dir):
+def s5_file_listing(spark, sf_dir):
     path = scratch_path(spark, "files")
     reads = fixtures.reads(spark, sf_dir).withColumn("file", F.col("source_file"))
-    reads.repartition("file").write.partitionBy("file").parquet(path)
-    return alignments.read_alignments(spark, path, "parquet", max_files=3).groupBy("source_file").agg(
+    reads.write.partitionBy("file").parquet(path)
+    return alignments.read_alignments(spark, path, "parquet").groupBy("source_file").agg(
         F.count("*").alias("reads")
     )
 
@@ -131,8 +132,8 @@ def s6_skip_bad_file(spark, sf_dir):
     reads = fixtures.reads(spark, sf_dir)
     line = F.when(F.col("read_ordinal") == 1, F.lit("cut\toff")).otherwise(alignments.sam_line())
     text = reads.select(F.col("source_file").alias("file"), line.alias("value"))
-    text.repartition("file").write.partitionBy("file").text(path)
-    return alignments.read_alignments(spark, path, "sam", glob="part-*").groupBy(
+    text.repartition(8, "file").write.partitionBy("file").text(path)
+    return alignments.read_alignments(spark, path, "sam", glob="part-*", on_error="skip").groupBy(
         F.regexp_extract("source_file", "file=([^/]+)", 1).alias("file")
     ).agg(F.count("*").alias("reads"))
 
@@ -145,6 +146,15 @@ def s7_class_samples(spark, sf_dir):
     return dataset.combine(dataset.label(both[0], 1), dataset.label(both[1], 0))
 
 
+@query
+def s7_x1_prepare_from_csv(spark, sf_dir):
+    path = scratch_path(spark, "handoff")
+    samples.write_class_samples(_labelled(spark, sf_dir), path, "csv", keys=True)
+    both = [samples.read_samples(spark, f"{path}/{n}", samples.KEYED_SAMPLES, "csv") for n in ("all_p_read", "all_n_read")]
+    labelled = dataset.combine(dataset.label(both[0], 1), dataset.label(both[1], 0))
+    return prepare(labelled, PARAMS, strict=False).splits.select("query_subseq", "labels", "split")
+
+
 @query
 def s8_combined_samples(spark, sf_dir):
     path = scratch_path(spark, "combined")
@@ -290,9 +300,8 @@ def j2_labels_first(spark, sf_dir):
 
 
 @query
-def j3_f12_pairwise_similarity(spark, sf_dir):
-    found = similarity.pairwise(_windows(spark, sf_dir), windows.WINDOW_KEY)
-    return found.select("i", "j", _rounded("score"))
+def j3_f12_similar_pairs(spark, sf_dir):
+    return similarity.similar_pairs(_windows(spark, sf_dir)).select("a", "b", _rounded("score"))
 
 
 # Aggregations.
@@ -418,7 +427,7 @@ def r4_shuffled_samples(spark, sf_dir):
 
 @query
 def r5_first_windows(spark, sf_dir):
-    return ranking.first_rows(_windows(spark, sf_dir), windows.WINDOW_KEY, similarity.DEFAULT_LIMIT)
+    return ranking.first_rows(_windows(spark, sf_dir), windows.WINDOW_KEY, FIRST_ROWS)
 
 
 @query

@@ -20,13 +20,13 @@ _READS = """
 SELECT CONCAT('read', doc_id) AS query_name,
   CAST(CASE WHEN doc_id % 2 = 0 THEN 16 ELSE 0 END AS INT) AS flag,
   CASE lang WHEN 'en' THEN 'chr1' WHEN 'fr' THEN 'chr2' ELSE 'chr3' END AS reference_name,
-  (doc_id * 7919) % 1000000 AS reference_start,
+  (doc_id * 7919) % 5000000 + CAST(FLOOR(doc_id / 1000) AS BIGINT) * 5500000 AS reference_start,
   CAST((doc_id * 7) % 61 AS INT) AS mapping_quality,
   CASE WHEN LENGTH(s) < 100 THEN CONCAT(LENGTH(s), 'M')
        ELSE CONCAT('5S', LENGTH(s) - 57 - dlen, 'M2I', 20 + dlen, 'M', 1 + doc_id % 5, 'D', 30, 'M')
   END AS cigar,
-  CASE WHEN doc_id % 10 = 0 THEN NULL ELSE s END AS query_sequence,
-  CAST(CASE WHEN doc_id % 10 = 0 THEN 0 ELSE LENGTH(s) END AS INT) AS query_length,
+  CASE WHEN LENGTH(s) < 10 THEN NULL ELSE s END AS query_sequence,
+  CAST(CASE WHEN LENGTH(s) < 10 THEN 0 ELSE LENGTH(s) END AS INT) AS query_length,
   CONCAT('file', doc_id % 8) AS source_file,
   doc_id AS read_ordinal
 FROM (SELECT doc_id, lang, doc_id % 7 AS dlen,
@@ -35,10 +35,12 @@ FROM (SELECT doc_id, lang, doc_id % 7 AS dlen,
       FROM {documents}) x
 """
 
+# The genome grows with the tables, so that the depth stays: 5.5 million bases for every 1,000 reads and 15,000 peaks.
+_PLACE = "((o_orderkey * 104729) % 5500000 + CAST(FLOOR(o_orderkey / 15000) AS BIGINT) * 5500000)"
+
 _PEAKS = """
 SELECT o_orderkey AS peak_id, CONCAT('chr', 1 + o_orderkey % 3) AS chrom,
-  (o_orderkey * 104729) % 1100000 AS start,
-  (o_orderkey * 104729) % 1100000 + 40 + o_orderkey % 300 AS "end",
+  {place} AS start, {place} + 40 + o_orderkey % 300 AS "end",
   CONCAT('peak', o_orderkey) AS name,
   CAST(o_orderkey % 1000 AS INT) AS score,
   '.' AS strand,
@@ -46,8 +48,8 @@ SELECT o_orderkey AS peak_id, CONCAT('chr', 1 + o_orderkey % 3) AS chrom,
   CAST(o_orderkey % 89 AS DOUBLE) / 8 AS pValue,
   CAST(o_orderkey % 83 AS DOUBLE) / 16 AS qValue,
   CAST(o_orderkey % 40 AS INT) AS peak
-FROM {orders} WHERE o_orderkey % 5 = 0
-"""
+FROM {orders}
+""".replace("{place}", _PLACE)
 
 _SCORES = """
 SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS label, score,

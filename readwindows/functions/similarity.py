@@ -2,8 +2,8 @@
 
 With match 1 and free mismatches and gaps, the best global alignment score is the length
 of the longest common subsequence. Spark has no such function, so it is an Arrow-batched
-UDF; the longest common subsequence is found 64 letters at a time with machine words,
-for all pairs of a batch at once.
+UDF; the longest common subsequence of a pair is found with one step of bit operations per
+letter, on integers as wide as the other sequence.
 """
 
 from __future__ import annotations

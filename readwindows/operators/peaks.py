@@ -79,7 +79,7 @@ def width_density(peaks: DataFrame, points: int = GRID, bins: int = BINS) -> Dat
 
     Bandwidth by Scott's rule. ``count_scale`` is the density on the histogram's scale.
     Each distinct width is weighted by its number and spread over the grid, which is
-    added up again before the shuffle.
+    added up again before the shuffle. Equal widths, or fewer than two, have no density: no rows.
     """
     stats = peaks.agg(
         F.struct(
@@ -96,7 +96,8 @@ def width_density(peaks: DataFrame, points: int = GRID, bins: int = BINS) -> Dat
     total = F.sum(F.col("n") * kernel)
     norm = n * h * F.sqrt(2 * F.pi())
     return (
-        spread.groupBy("point")
+        spread.where("s.h > 0")
+        .groupBy("point")
         .agg(total.alias("total"))
         .withColumn("s", stats)
         .select(

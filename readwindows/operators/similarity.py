@@ -1,4 +1,4 @@
-"""All-pairs similarity of the first sequences of a table."""
+"""Alignment similarity of pairs: those that share a block, or a stated number of first rows."""
 
 from __future__ import annotations
 
@@ -12,11 +12,27 @@ from readwindows.operators.ranking import first_rows
 from readwindows.session import broadcast_up_to
 
 BROADCAST_SEQUENCES = 1_000
-DEFAULT_LIMIT = 50  # fixed value
+BLOCK_LETTERS = 12
+
+
+def similar_pairs(df: DataFrame, sequence: str = "query_subseq", letters: int = BLOCK_LETTERS) -> DataFrame:
+    """``(a, b, score)`` of all pairs ``a < b`` of different sequences that share a block.
+
+    The block is the least MD5 among a sequence's runs of ``letters`` letters, so that
+    near sequences tend to share it. The sequences are made distinct first; the join on the
+    block can be split by adaptive skew handling, and no pair is dropped.
+    """
+    runs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("a") - letters + 1, F.lit(1))),
+        lambda i: F.md5(F.substr("a", i, F.lit(letters))),
+    )
+    blocks = df.select(F.col(sequence).alias("a")).where("a is not null").distinct().withColumn("_block", F.array_min(runs))
+    pairs = blocks.join(blocks.withColumnRenamed("a", "b"), "_block").where("a < b")
+    return pairs.select("a", "b", similarity(F.col("a"), F.col("b")).alias("score"))
 
 
 def pairwise(
-    df: DataFrame, order: Sequence[str], sequence: str = "query_subseq", limit: int = DEFAULT_LIMIT
+    df: DataFrame, order: Sequence[str], sequence: str = "query_subseq", *, limit: int
 ) -> DataFrame:
     """``(i, j, score)`` for all ordered pairs of the first ``limit`` rows, 0-based.
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +33,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir`` (or has called
-    ``setCheckpointDir``). Only a local session without either gets a temporary one.
+    The session names it in ``spark.checkpoint.dir`` (or has called
+    ``setCheckpointDir``). A session on one machine without either uses a folder named after
+    the application in its working directory.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[\d*,]+\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="readwindows-"))
-    return sc.getCheckpointDir()
+    return os.path.abspath(os.path.join("spark-staged", sc.applicationId))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -22,67 +22,56 @@ def read_alignments(
     path: str,
     format: str = "parquet",
     glob: str | None = None,
-    max_files: int | None = None,
-    on_error: str = "skip",
+    on_error: str = "fail",
 ) -> DataFrame:
     """All records of the files under ``path``, unmapped ones included.
 
-    ``glob`` filters file names, ``max_files`` keeps the first of the sorted paths. With
-    ``on_error='skip'`` a file that cannot be read whole contributes nothing; ``'fail'``
-    raises. Parquet is the form for large tables.
+    Subfolders are read as well; ``glob`` filters file names. A broken file raises. With
+    ``on_error='skip'`` a SAM file with a malformed record, or a BAM file that cannot be
+    decoded whole, contributes nothing (see ``rejects``). Damage that only shows while a file is
+    being read, as in Parquet and compressed text, always raises: what came before it would
+    already be part of the result. Parquet is the form for large tables.
     """
     if format not in FORMATS or on_error not in ON_ERROR:
         raise ValueError(f"unsupported format or error policy: {format}, {on_error}")
     glob = glob or f"*.{format}"
     if format == "bam":
-        return _read_bam(spark, path, glob, max_files, on_error)
-    files = _files(spark, path, glob, max_files)
+        return _read_bam(spark, path, glob, on_error)
+    chosen = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    if chosen.format("binaryFile").load(path).select("path").isEmpty():
+        raise FileNotFoundError(f"no {glob} under {path}")
+    chosen = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     if format == "parquet":
-        return spark.read.schema(READS).option("ignoreCorruptFiles", on_error == "skip").parquet(*files)
-    return _read_sam(spark, files, on_error)
+        return chosen.schema(READS).parquet(path)
+    return _read_sam(chosen.text(path), on_error)
 
 
-def _files(spark: SparkSession, path: str, glob: str, max_files: int | None) -> list[str]:
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
-        "recursiveFileLookup", True
-    ).load(path)
-    files = sorted(listed.inputFiles())[:max_files]
-    if not files:
-        raise FileNotFoundError(f"no {glob} under {path}")
-    return files
+def rejects(spark: SparkSession, path: str, format: str, glob: str | None = None) -> DataFrame:
+    """``(source_file, error)``: the SAM or BAM files that ``on_error='skip'`` leaves out."""
+    glob = glob or f"*.{format}"
+    if format == "bam":
+        found = _scan_bam(spark, path, glob, "check")
+    elif format == "sam":
+        text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+        lines, broken = _sam_fields(text)
+        found = lines.where(broken).withColumn("error", F.concat(F.lit("malformed record of "), F.coalesce("qname", F.lit("no name"))))
+    else:
+        raise ValueError(f"no rejects for {format}")
+    return found.groupBy("source_file").agg(F.min("error").alias("error"))
 
 
-def _read_sam(spark: SparkSession, files: list[str], on_error: str) -> DataFrame:
+def _read_sam(text: DataFrame, on_error: str) -> DataFrame:
     """SAM text as column expressions, in as many splits as the files have.
 
     ``read_ordinal`` is the split's byte offset plus the row's place among the rows its
     task reads. A task reads no more rows than a split has bytes, so ordinals are unique
     in a file and follow file order.
     """
-    fields = F.split("value", "\t", 12)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    lines = (
-        spark.read.option("ignoreCorruptFiles", on_error == "skip")
-        .text(files)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("source_file"),
-            (F.col("_metadata.file_block_start") + row).alias("read_ordinal"),
-        )
-        .where(~F.startswith("value", F.lit("@")) & (F.col("value") != ""))
-        .select("source_file", "read_ordinal", fields.alias("f"))
-        .select(
-            "source_file",
-            "read_ordinal",
-            *[F.get("f", i).alias(name) for i, name in enumerate(SAM_FIELDS)],
-        )
-    )
-    numbers = {name: F.col(name).try_cast("bigint") for name in ("flag", "pos", "mapq")}
-    broken = F.col("qual").isNull() | numbers["flag"].isNull() | numbers["pos"].isNull() | numbers["mapq"].isNull()
+    lines, broken = _sam_fields(text)
+    numbers = _sam_numbers()
     if on_error == "skip":
-        # At most one row per input file, and the driver has listed the files already.
         bad = lines.where(broken).select("source_file").distinct()
-        lines = lines.join(F.broadcast(bad), "source_file", "left_anti")
+        lines = lines.join(bad, "source_file", "left_anti")
     else:
         checked = F.when(broken, F.raise_error(F.concat(F.lit("malformed record in "), "source_file")))
         lines = lines.withColumn("source_file", F.coalesce(checked.cast("string"), "source_file"))
@@ -101,23 +90,47 @@ def _read_sam(spark: SparkSession, files: list[str], on_error: str) -> DataFrame
     )
 
 
-def _read_bam(spark: SparkSession, path: str, glob: str, max_files: int | None, on_error: str) -> DataFrame:
+def _sam_numbers() -> dict[str, Column]:
+    return {name: F.col(name).try_cast("bigint") for name in ("flag", "pos", "mapq")}
+
+
+def _sam_fields(text: DataFrame) -> tuple[DataFrame, Column]:
+    """The records' fields, and whether a record is malformed."""
+    fields = F.split("value", "\t", 12)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = (
+        text.select(
+            "value",
+            F.col("_metadata.file_path").alias("source_file"),
+            (F.col("_metadata.file_block_start") + row).alias("read_ordinal"),
+        )
+        .where(~F.startswith("value", F.lit("@")) & (F.col("value") != ""))
+        .select("source_file", "read_ordinal", fields.alias("f"))
+        .select(
+            "source_file",
+            "read_ordinal",
+            *[F.get("f", i).alias(name) for i, name in enumerate(SAM_FIELDS)],
+        )
+    )
+    numbers = _sam_numbers()
+    broken = F.col("qual").isNull() | numbers["flag"].isNull() | numbers["pos"].isNull() | numbers["mapq"].isNull()
+    return lines, broken
+
+
+def _scan_bam(spark: SparkSession, path: str, glob: str, mode: str) -> DataFrame:
     from readwindows.sources.bam import BamDataSource
 
     spark.dataSource.register(BamDataSource)
+    return spark.read.format("bam").option("glob", glob).option("mode", mode).load(path)
 
-    def scan(mode: str) -> DataFrame:
-        reader = spark.read.format("bam").option("glob", glob).option("mode", mode)
-        if max_files is not None:
-            reader = reader.option("max_files", max_files)
-        return reader.load(path)
 
+def _read_bam(spark: SparkSession, path: str, glob: str, on_error: str) -> DataFrame:
+    records = _scan_bam(spark, path, glob, "fail" if on_error == "fail" else "skip").drop("error")
     if on_error == "fail":
-        return scan("fail").drop("error")
-    # The check walks over all records without decoding them; it reports whole files,
-    # of which the driver has listed every one already.
-    bad = scan("check").select("source_file").distinct()
-    return scan("skip").drop("error").join(F.broadcast(bad), "source_file", "left_anti").select(*READ_COLUMNS)
+        return records
+    # The check decodes every record, as the scan does; the scan is quiet on a broken file, which leaves whole.
+    bad = _scan_bam(spark, path, glob, "check").select("source_file").distinct()
+    return records.join(bad, "source_file", "left_anti").select(*READ_COLUMNS)
 
 
 def write_alignments(reads: DataFrame, path: str, mode: str = "errorifexists") -> None:

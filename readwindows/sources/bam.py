@@ -304,27 +304,28 @@ class BamReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.glob = options.get("glob", "*.bam")
-        self.max_files = int(options["max_files"]) if "max_files" in options else None
         self.mode = options.get("mode", "fail")
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
 
     def partitions(self) -> list[ByteRange]:
         filesystem, folder = open_fs(self.path)
-        listed = filesystem.get_file_info(fs.FileSelector(folder))
+        listed = filesystem.get_file_info(fs.FileSelector(folder, recursive=True))
         files = sorted(
             (f.path, f.size) for f in listed if f.type == fs.FileType.File and fnmatch(f.base_name, self.glob)
         )
         scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
+        if not files:
+            raise FileNotFoundError(f"no {self.glob} under {self.path}")
         return [
             ByteRange(scheme + path, low, min(low + self.split_bytes, size), size)
-            for path, size in files[: self.max_files]
+            for path, size in files
             for low in range(0, max(size, 1), self.split_bytes)
         ]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         try:
             yield from self._batches(partition)
-        except (BamError, struct.error, IndexError, ValueError) as e:
+        except (BamError, struct.error, LookupError, ValueError) as e:
             if self.mode == "fail":
                 raise BamError(f"{partition.path}: {e}") from e
             if self.mode == "check":
@@ -336,9 +337,10 @@ class BamReader(DataSourceReader):
         rows, bases = [], 0
         with filesystem.open_input_file(path) as file:
             for voffset, record, header in self._own_records(file, part):
+                decoded = _decode(voffset, record, header, part.path)
                 if self.mode == "check":
                     continue
-                rows.append(_decode(voffset, record, header, part.path))
+                rows.append(decoded)
                 bases += rows[-1][COLUMNS.index("query_length")]
                 if len(rows) >= BATCH_RECORDS or bases >= BATCH_BASES:
                     yield self._batch(rows)

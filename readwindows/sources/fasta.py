@@ -31,15 +31,12 @@ def write_fasta(
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``seq_id`` and ``seq``, in splits at the record mark. Sequences may span lines.
-
-    ``>`` inside a header line is not supported.
-    """
-    record = F.split("value", "\n", 2)
+    """``seq_id`` and ``seq``, in splits at the mark that begins a line. Sequences may span lines."""
+    record = F.split(F.regexp_replace("value", "^\\s*>", ""), "\n", 2)
     header = F.rtrim(F.get(record, 0))
     body = F.coalesce(F.get(record, 1), F.lit(""))
     return (
-        spark.read.option("lineSep", ">")
+        spark.read.option("lineSep", "\n>")
         .text(path)
         .where(F.length(F.trim("value")) > 0)
         .select(F.get(F.split(header, r"\s"), 0).alias("seq_id"), F.regexp_replace(body, r"\s", "").alias("seq"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from readwindows.operators.dataset import SPLITS, part
-from readwindows.operators.windows import SAMPLE_COLUMNS
+from readwindows.operators.windows import SAMPLE_COLUMNS, WINDOW_KEY
 
 # The columns of a window sample.
 WINDOW_SAMPLES = (
@@ -13,6 +13,8 @@ WINDOW_SAMPLES = (
     "query_start bigint, query_end bigint, query_subseq string, mapping_quality int, query_length int"
 )
 COMBINED_SAMPLES = WINDOW_SAMPLES + ", labels int"
+# A window sample followed by its key, from which a dataset can be prepared again.
+KEYED_SAMPLES = WINDOW_SAMPLES + ", source_file string, read_ordinal bigint, window_index bigint"
 SPLIT_SAMPLES = "query_subseq string, labels int"
 
 
@@ -29,10 +31,11 @@ def read_samples(
     return reader.option("nullValue", "\\N").format(format).load(path)
 
 
-def write_class_samples(labelled: DataFrame, folder: str, format: str = "csv") -> None:
-    """The positive and the negative windows as two tables, without the key columns."""
+def write_class_samples(labelled: DataFrame, folder: str, format: str = "csv", keys: bool = False) -> None:
+    """The positive and the negative windows as two tables; ``keys`` adds the key columns at the end."""
+    columns = [*SAMPLE_COLUMNS, *WINDOW_KEY] if keys else SAMPLE_COLUMNS
     for name, value in (("all_p_read", 1), ("all_n_read", 0)):
-        chosen = labelled.where(labelled.labels == value).select(*SAMPLE_COLUMNS)
+        chosen = labelled.where(labelled.labels == value).select(*columns)
         write_samples(chosen, f"{folder}/{name}", format)
 
 

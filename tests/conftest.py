@@ -9,7 +9,8 @@ from readwindows.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session(8, 8)
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("staged")))
     yield session
     session.stop()

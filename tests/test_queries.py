@@ -40,4 +40,4 @@ def test_model_query_runs(spark, name):
 
 def test_entry(spark):
     rows = {(r.chromosome, r.labels): r.windows for r in entry_point.entry(spark).collect()}
-    assert rows == {("chr1", 0): 3030, ("chr1", 1): 37}
+    assert rows == {("chr1", 0): 3531, ("chr1", 1): 25}

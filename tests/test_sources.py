@@ -52,7 +52,7 @@ def test_bam_files(spark, tmp_path):
         df = alignments.read_alignments(spark, str(tmp_path), "bam", on_error=policy)
         compare(df, a + b)
         assert [f.simpleString() for f in df.schema] == [f.simpleString() for f in spark.createDataFrame([], READ_SCHEMA).schema]
-    df = alignments.read_alignments(spark, str(tmp_path), "bam", max_files=1)
+    df = alignments.read_alignments(spark, str(tmp_path), "bam", glob="a.bam")
     compare(df, a)
     ordered = df.orderBy("source_file", "read_ordinal").collect()
     assert [r.query_name for r in ordered] == [r[0] for r in a]
@@ -121,10 +121,11 @@ def test_sam_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "c.sam").write_text(sam_text(b)[:-200].rsplit("\t", 5)[0])
-    compare(alignments.read_alignments(spark, str(tmp_path), "sam"), a + b)
+    compare(alignments.read_alignments(spark, str(tmp_path), "sam", on_error="skip"), a + b)
+    assert [r.source_file.rsplit("/", 1)[1] for r in alignments.rejects(spark, str(tmp_path), "sam").collect()] == ["c.sam"]
     with pytest.raises(Exception, match="malformed"):
         alignments.read_alignments(spark, str(tmp_path), "sam", on_error="fail").collect()
-    compare(alignments.read_alignments(spark, str(tmp_path), "sam", max_files=1), a)
+    compare(alignments.read_alignments(spark, str(tmp_path), "sam", glob="a.sam"), a)
 
 
 def test_parquet_and_errors(spark, tmp_path):
@@ -151,7 +152,7 @@ def test_peak_files(spark, tmp_path):
 
 
 def test_fasta(spark, tmp_path):
-    (tmp_path / "x.fa").write_text(">s1 first one\nACGT\nAC\n>s2\nGG\n\n>s3\n")
+    (tmp_path / "x.fa").write_text(">s1 first x>y\nACGT\nAC\n>s2\nGG\n\n>s3\n")
     assert sorted(map(tuple, fasta.read_fasta(spark, str(tmp_path / "x.fa")).collect())) == [
         ("s1", "ACGTAC"), ("s2", "GG"), ("s3", "")]
     df = spark.createDataFrame([(3, "CC"), (1, "AA"), (2, "GG")], "k int, query_subseq string")
