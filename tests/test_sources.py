@@ -92,9 +92,33 @@ def test_broken_bam_files_are_skipped_whole(spark, tmp_path):
     (tmp_path / "no_end.bam").write_bytes(whole[: -len(bam.BGZF_EOF)])
     (tmp_path / "damaged.bam").write_bytes(bytes(damaged))
     (tmp_path / "empty.bam").write_bytes(b"")
-    compare(alignments.read_alignments(spark, str(tmp_path), "bam"), good)
+    # Whole blocks, but one record of the last ones names an unknown contig.
+    odd = encoded(other)
+    odd[120] = odd[120][:4] + (99).to_bytes(4, "little") + odd[120][8:]
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "odd.bam").write_bytes(bam_files.file_bytes(odd, block_bytes=3000))
+    (tmp_path / "below" / "more.bam").write_bytes(bam_files.file_bytes(encoded(good)))
+    compare(alignments.read_alignments(spark, str(tmp_path), "bam", on_error="skip"), good + good)
+    bad = alignments.rejects(spark, str(tmp_path), "bam").collect()
+    assert sorted(r.source_file.rsplit("/", 1)[1] for r in bad) == ["cut.bam", "damaged.bam", "empty.bam", "no_end.bam", "odd.bam"]
+    assert all(r.error for r in bad)
     with pytest.raises(Exception, match="BamError"):
-        alignments.read_alignments(spark, str(tmp_path), "bam", on_error="fail").collect()
+        alignments.read_alignments(spark, str(tmp_path), "bam").collect()
+
+
+def test_damaged_parquet_and_compressed_text_raise(spark, tmp_path):
+    rows = [read(i, "4M", "ACGT", start=i) for i in range(2000)]
+    df = spark.createDataFrame(rows, READ_SCHEMA).coalesce(1)
+    df.write.parquet(str(tmp_path / "p"))
+    df.select(alignments.sam_line().alias("value")).write.option("compression", "gzip").text(str(tmp_path / "s"))
+    for folder, format, glob in (("p", "parquet", "*.parquet"), ("s", "sam", "*.gz")):
+        part = next((tmp_path / folder).glob("part-*"))
+        whole = part.read_bytes()
+        (tmp_path / folder / f".{part.name}.crc").unlink()
+        part.write_bytes(whole[: len(whole) // 2] if format == "sam" else whole[:200] + bytes(200) + whole[400:])
+        for policy in alignments.ON_ERROR:
+            with pytest.raises(Exception):
+                alignments.read_alignments(spark, str(tmp_path / folder), format, glob, policy).collect()
 
 
 def sam_text(rows):
