@@ -117,6 +117,7 @@ def test_width_reports(spark):
     same = peaks.width_histogram(peak_table(spark, [50, 50])).collect()
     assert [(r.bin, r.peaks) for r in same] == [(0, 2)]
     assert peaks.width_histogram(peak_table(spark, [])).count() == 0
+    assert peaks.width_density(peak_table(spark, [50, 50])).collect() == []
     h = (sum((w - 39) ** 2 for w in widths) / 4) ** 0.5 * 5**-0.2
     found = {r.point: r for r in peaks.width_density(df, 11).collect()}
     at = found[3].x
