@@ -3,7 +3,8 @@
 A candidate is a long run of key-like signs with a digit in it, or the value assigned to a name
 such as ``password``. The forest (Spark ML) sees its length, its letter transitions against
 those of the corpus, the part of it that dictionary words cover, how it looks, whether it
-stands in a path, and the words beside it. It is trained on labelled findings; its nodes are
+stands in a path, and the words beside it. Dictionary and transitions are counted over all
+documents, whatever their number. The forest is trained on labelled findings; its nodes are
 then read back as a table of a few thousand rows and sent to the tasks, so that texts are
 scanned and masked where they are, without a shuffle.
 
@@ -30,10 +31,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.session import scratch_path
+from readwindows.session import scratch_path, stage
 
-#: Texts of the corpus that training may read, in expectation; drawn by a hash of their id.
-SAMPLE_TEXTS, SAMPLE_FINDINGS, DICTIONARY = 20_000, 4_000, 20_000
+#: Texts of the corpus from which findings are labelled, in expectation; drawn by a hash of their id.
+SAMPLE_TEXTS, SAMPLE_FINDINGS = 20_000, 4_000
+#: A dictionary word's least share of the corpus's words, and its least and most letters.
+DICTIONARY_SHARE, SHORTEST, LONGEST = 1e-6, 3, 12
 TREES, DEPTH, SEED = 40, 8, 5
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -69,17 +72,17 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 @dataclass
 class Language:
-    """What the corpus says about plain words: the commonest, and how letters follow each other."""
+    """What the corpus says about plain words: the common ones, and how letters follow each other."""
 
     words: frozenset[str]
     transitions: dict[str, float]
     floor: float
 
     def coverage(self, s: str) -> float:
-        """Part of the letters inside dictionary words of three letters or more, longest first."""
+        """Part of the letters inside dictionary words, longest first."""
         i = hit = 0
         while i < len(s):
-            for n in range(min(12, len(s) - i), 2, -1):
+            for n in range(min(LONGEST, len(s) - i), SHORTEST - 1, -1):
                 if s[i : i + n] in self.words:
                     hit, i = hit + n, i + n
                     break
@@ -89,15 +92,19 @@ class Language:
 
 
 def language(docs: DataFrame) -> Language:
-    """The ``DICTIONARY`` commonest words of the sample, and their letter transitions."""
-    words = _sampled(docs).select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("length(w) > 1 and length(w) < 30")
-    counts = {r.w: r.n for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY).collect()}
-    pairs: Counter[str] = Counter()
-    for w, n in counts.items():
-        for a, b in zip(f"^{w}", f"{w}$"):
-            pairs[a + b] += n
+    """Words of all documents that make up ``DICTIONARY_SHARE`` of all words or more, and the letter transitions of all words.
+
+    The share bounds the dictionary by its inverse; the transitions are bounded by the pairs of letters.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("w")).where("w <> ''")
+    counts = stage(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    least = DICTIONARY_SHARE * (counts.agg(F.sum("n")).first()[0] or 0)
+    # ``coverage`` looks up 3 to 12 letters.
+    known = counts.where(F.length("w").between(SHORTEST, LONGEST) & (F.col("n") >= F.lit(least))).select("w").collect()
+    steps = F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substr(F.concat(F.lit("^"), "w", F.lit("$")), i, F.lit(2)))
+    pairs = {r.p: r.n for r in counts.select(F.explode(steps).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).collect()}
     total = sum(pairs.values()) + 1
-    return Language(frozenset(w for w in counts if len(w) > 2), {p: log(n / total) for p, n in pairs.items()}, log(0.5 / total))
+    return Language(frozenset(r.w for r in known), {p: log(n / total) for p, n in pairs.items()}, log(0.5 / total))
 
 
 def features(text: str, start: int, end: int, lang: Language) -> list[float]:

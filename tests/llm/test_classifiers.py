@@ -1,5 +1,9 @@
 """Toxicity, secrets and url filters: held-out accuracy on small made corpora, and odd rows."""
 
+import re
+from collections import Counter
+from math import log
+
 import pytest
 
 from readwindows.llm import secrets, toxicity, urlfilter
@@ -97,6 +101,26 @@ def test_masks_secrets_only(spark, forest):
     assert secrets.scan(no_docs(spark), forest).count() == 0
 
 
+def test_language_counts_all_documents(spark, monkeypatch):
+    rows = [(k, prose(k, 30), "en", "a", 0) for k in range(200)] + [(200, "Seltsam a " + "q" * 40, "xx", "z", 0), (None, "ébène 7x", None, None, None), (201, None, "en", "a", 0)]
+    monkeypatch.setattr(secrets, "SAMPLE_TEXTS", 5)
+    monkeypatch.setattr(secrets, "DICTIONARY", 10, raising=False)
+    lang = secrets.language(spark.createDataFrame(rows, DOCS))
+    words = [w for _, t, *_ in rows for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    pairs = Counter(a + b for w in words for a, b in zip(f"^{w}", f"{w}$", strict=True))
+    total = sum(pairs.values()) + 1
+    assert lang.words == {w for w in words if 3 <= len(w) <= 12} >= {"seltsam", "ébène"}
+    assert lang.transitions == pytest.approx({p: log(n / total) for p, n in pairs.items()})
+    assert lang.floor == pytest.approx(log(0.5 / total))
+
+
+def test_dictionary_words_have_a_share_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "DICTIONARY_SHARE", 0.1)
+    lang = secrets.language(spark.createDataFrame([(1, "often " * 18 + "rare rarer", "en", "a", 0)], DOCS))
+    assert lang.words == {"often"} and "ra" in lang.transitions
+    assert secrets.language(no_docs(spark)).words == frozenset()
+
+
 def pages(spark, urls):
     return spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, label string")
 
