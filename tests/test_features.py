@@ -102,3 +102,28 @@ def test_similarity(spark):
                 assert found[i, j] == pytest.approx(expected)
     plan = plan_of(similarity.pairwise(df, ["id"], limit=50))
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_near_pairs_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ACGT") for _ in range(50)) for _ in range(25)]
+    sequences = [*base, "", "A", "AC", "CA", "ACGTA", "GTACG", "A" * 50, "A" * 48 + "CC", None, base[0]]
+    for s in base:
+        for edits in (1, 1, 2, 3):
+            letters = list(s)
+            for _ in range(edits):
+                at = rng.randrange(len(letters))
+                letters[at : at + 1] = rng.choice(["", rng.choice("ACGT"), letters[at] + rng.choice("ACGT")])
+            sequences.append("".join(letters))
+    df = spark.createDataFrame([(s,) for s in sequences], "query_subseq string")
+    known = sorted({s for s in sequences if s is not None})
+    expected = {}
+    for i, a in enumerate(known):
+        for b in known[i + 1 :]:
+            common, longer = lcs_length(a, b), max(len(a), len(b))
+            if longer - common <= 2:
+                expected[a, b] = common / longer
+    found = [tuple(r) for r in similarity.near_pairs(df, edits=2).collect()]
+    assert len(found) == len(expected) and {(a, b): s for a, b, s in found} == pytest.approx(expected)
+    blocked = {(r.a, r.b) for r in similarity.similar_pairs(df).collect()}
+    assert len(blocked & set(expected)) < len(expected)
