@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.llm import decontaminate, extract, minhash, mixing, repeats, search, secrets, toxicity, urlfilter, warc
+from readwindows.llm import decontaminate, extract, minhash, mixing, repeats, search, secrets, tokens, toxicity, urlfilter, warc
 from readwindows.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,11 @@ def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for the whole text of every document whose id is divisible by 50."""
     docs = read(spark, sf_dir, "documents")
     return search.search(docs, docs.where(F.col("doc_id") % search.EVERY == 0))
+
+
+@query
+def op12_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: where its token ids stand in the files, how many they are, and their checksum."""
+    from public_tokenizers import path
+
+    return tokens.round_trip(read(spark, sf_dir, "documents"), path(tokens.VOCABULARY))
