@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.llm import decontaminate, extract, minhash, mixing, repeats, search, secrets, tokens, toxicity, urlfilter, warc
+from readwindows.llm import decontaminate, extract, minhash, mixing, repeats, search, secrets, tokens, toxicity, urlfilter, warc, whitening
 from readwindows.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,10 @@ def op12_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     return tokens.round_trip(read(spark, sf_dir, "documents"), path(tokens.VOCABULARY))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector and component: the whitened coordinate."""
+    found = whitening.fit_and_whiten(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
