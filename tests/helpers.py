@@ -38,3 +38,15 @@ def walk_windows(cigar, start, size, step):
 
 def plan_of(df):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def compare(df, result):
+    """The rows and column types of a query and of an executed DuckDB statement are the same."""
+    order = [c[0] for c in result.description]
+    columns = sorted((c[0], str(c[1])) for c in result.description)
+    expected = sorted(repr(tuple(row[order.index(c)] for c, _ in columns)) for row in result.fetchall())
+    assert sorted((f.name, TYPES[f.dataType.simpleString()]) for f in df.schema) == columns
+    assert sorted(repr(tuple(row[c] for c, _ in columns)) for row in df.collect()) == expected

@@ -1,4 +1,4 @@
-"""Every registered query against its plain SQL in DuckDB, on the smallest tables."""
+"""The registered queries outside the training-data subpackage against their plain SQL in DuckDB, on the smallest tables."""
 
 import os
 
@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from readwindows.checks.oracles import ORACLES
+from readwindows.checks.queries import QUERIES
+from helpers import compare
 
 SF_DIR = "/root/testdata/sf0.001"
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -24,13 +25,7 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF_DIR)
-    result = duck.execute(ORACLES[name])
-    columns = sorted((c[0], str(c[1])) for c in result.description)
-    order = [c[0] for c in result.description]
-    expected = sorted(repr(tuple(row[order.index(c)] for c, _ in columns)) for row in result.fetchall())
-    assert sorted((f.name, TYPES[f.dataType.simpleString()]) for f in df.schema) == columns
-    assert sorted(repr(tuple(row[c] for c, _ in columns)) for row in df.collect()) == expected
+    compare(QUERIES[name](spark, SF_DIR), duck.execute(ORACLES[name]))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
@@ -41,3 +36,7 @@ def test_model_query_runs(spark, name):
 def test_entry(spark):
     rows = {(r.chromosome, r.labels): r.windows for r in entry_point.entry(spark).collect()}
     assert rows == {("chr1", 0): 3531, ("chr1", 1): 25}
+
+
+def test_all_queries_are_registered():
+    assert QUERIES.keys() <= entry_point.queries().keys() and ORACLES.keys() <= entry_point.oracle_sql().keys()
