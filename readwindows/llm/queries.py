@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readwindows.llm import decontaminate, extract, minhash, mixing, repeats, search, secrets, tokens, toxicity, urlfilter, warc, whitening
+from readwindows.llm import collocations, decontaminate, extract, minhash, mixing, repeats, search, secrets, tokens, toxicity, urlfilter, warc, whitening
 from readwindows.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,42 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per vector and component: the whitened coordinate."""
     found = whitening.fit_and_whiten(read(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: its 2,000 strongest phrases."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, d, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS piece
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+      regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p
+    FROM documents
+  )
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[p:p + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM words, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)
+), known AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, m, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM known WHERE m > 1)
+), scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, x.f AS l, y.f AS r, n, CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = c.first JOIN known y ON y.lang = c.lang AND y.phrase = c.rest JOIN sizes s ON s.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[p:p + j - 1], ' ') AS part, max(f) AS longer
+  FROM (SELECT lang, m, phrase, f, j, unnest(range(1, m - j + 2)) AS p FROM (SELECT *, unnest(range(2, m)) AS j FROM known WHERE m > 2)) GROUP BY ALL
+), kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.part = lowest.phrase WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM kept QUALIFY rank <= 2000
+"""
