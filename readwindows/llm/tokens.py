@@ -6,9 +6,9 @@ Simple-8b coding of ``simple8b``, whose block offsets allow reading a part. One
 writer's line end, stands behind every frame. Files are written and read by Spark alone, so they may lie in any store,
 and a lost task writes its file anew.
 
-Texts are cut at ASCII white space before they reach the tokenizer, and each different word goes through it once a
-task: the tokenizer of ``VOCABULARY`` drops white space and lets no token cross it, so whole
-texts give the same ids (the test compares them). ``cut=False`` gives whole texts to the tokenizer, for one that keeps white space.
+Texts are cut at ASCII white space, and between ASCII letters and other ASCII signs, before they reach the tokenizer, and
+different chunks go through it once each while they are remembered: the tokenizer of ``VOCABULARY`` drops white space and lets no token cross these seams, so whole
+texts give the same ids (the test compares them). ``cut=False`` gives whole texts to the tokenizer, for another vocabulary.
 
 Defined cases: null and empty texts have the end id alone; rows of null id come first; rows of equal id stand
 together, ordered by the fingerprints of their texts; a text of any length is one frame; an empty table gives no rows; extra columns are ignored.
@@ -16,6 +16,7 @@ together, ordered by the fingerprints of their texts; a text of any length is on
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
@@ -33,13 +34,23 @@ from readwindows.session import scratch_path, stage
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
+#: The vocabulary's mark of a word's end, and how many words go to the tokenizer as one text.
+WORD_END, RUN = "</w>", 256
 #: Bytes of text in a file, and in a frame.
 FILE, FRAME = 16 << 20, 4 << 20
 #: A Python worker remembers the words it meets until they are so many; no piece whose new words have more bytes than this on average.
-KNOWN, LONGEST = 300_000, 48
+KNOWN, LONGEST = 500_000, 48
 #: Files whose totals are added up in one task of the first level.
 FILES = 1024
 
+#: The vocabulary's tokens are of letters, of one digit, of other signs, or an apostrophe with letters: none crosses the
+#: seam of an ASCII letter (1) and another ASCII sign (2) but for the apostrophe (0), unless a special token, which begins so, is about.
+_KINDS = np.zeros(256, np.int8)
+_KINDS[:0x80] = 2
+_KINDS[0x41:0x5B] = _KINDS[0x61:0x7B] = 1
+_KINDS[[0x27, 0x20, *range(0x09, 0x0E)]] = 0
+_MARK = b"<|"
+
 MAGIC = 0x31423853
 HEAD = np.dtype([("magic", "<u4"), ("docs", "<u4")])
 DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("size", "<u8")])
@@ -47,11 +58,32 @@ DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("size", "<u8")])
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    # Spark runs one task per core; threads of the tokenizer's own would only spin.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+def _chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of stretches that no token crosses."""
+    starts, ends = T.words(data, T.NON_SPACE)
+    if _MARK in data.tobytes():
+        return starts, ends
+    kind = _KINDS[data]
+    inner = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
+    return np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+
+
+@lru_cache(maxsize=2)
+def _last_tokens(path: str) -> np.ndarray:
+    """Which ids end a word, by the vocabulary's own mark."""
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
+    return out
+
+
 class Encoder:
     """Ids of many texts; every different word is tokenized once while it is remembered."""
 
@@ -60,11 +92,26 @@ class Encoder:
         self._known: dict[bytes, int] = {}
         self._ids, self._sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _each(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
         found = [f.ids for f in _tokenizer(self._path).encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each``, but words of ASCII letters go in runs, which is cheaper: their last tokens are marked in the vocabulary."""
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        rest = [k for k, w in enumerate(words) if not w.isalpha()]
+        ids, _ = self._each([b" ".join([words[k] for k in plain[lo : lo + RUN]]) for lo in range(0, len(plain), RUN)])
+        ends = np.flatnonzero(_last_tokens(self._path)[ids])
+        if len(ends) != len(plain):
+            return self._each(words)
+        others, lengths = self._each([words[k] for k in rest])
+        sizes = np.concatenate([np.diff(ends, prepend=-1), lengths])
+        # Back to the order of the words.
+        order = np.argsort(np.array(plain + rest, np.int64))
+        starts = np.cumsum(sizes) - sizes
+        return np.concatenate([ids, others])[T.ranges(starts[order], sizes[order])], sizes[order]
+
     def _of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for every word where its own begin among them and how many they are."""
         known = self._known
@@ -85,7 +132,7 @@ class Encoder:
         end = np.array([END], np.uint32)
         if self._cut:
             data, rows = T.spaced(texts)
-            starts, ends = T.words(data, T.NON_SPACE)
+            starts, ends = _chunks(data)
             first = np.searchsorted(starts, rows)
             offsets = np.concatenate(([0], np.cumsum(ends - starts)))
             held = np.ascontiguousarray(data[T.NON_SPACE[data]])
@@ -93,7 +140,7 @@ class Encoder:
             ids, starts, sizes = self._of_words(words.dictionary.to_pylist())
             index = words.indices.to_numpy().astype(np.int64)
         else:
-            ids, sizes = self._encode(texts.to_pylist())
+            ids, sizes = self._each(texts.to_pylist())
             starts, first, index = np.cumsum(sizes) - sizes, np.arange(n + 1), np.arange(n)
         # The end id is one more word behind every text.
         index = np.insert(index, first[1:], len(starts))

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +48,7 @@ def expected(rows, vocabulary):
 
 ODD = [
     "Don't  stop it's　we'll\tI'M\r\n1234 á ́a ̇ ệ",
+    "a,'s b.'T c1's d'1s e''s f's,g 'll-'ll x'lly we'RE9've a'b'c 1a2b 3'd <| |> <p>it's</p> n≠́≠o,́",
     "x<|endoftext|>y <|startoftext|> z",
     "\x1c\x1d a\x85b   ​ ﬁn İstanbul ΣΑΣ Σ ΑΣ's",
     "日本語のテキスト 中文 한국어 مرحبا 😀😀👩‍👩‍👧",
@@ -64,6 +66,18 @@ def test_whole_texts_give_the_same_ids(spark):
     assert [tuple(r) for r in found] == expected(rows, vocabulary)
 
 
+SIGNS = st.text(st.one_of(st.sampled_from("aAsStTlLdDvVrReEmM'’,.-=<>|1 \t\u0301\u0338\u00e9\u0130\u03a3\u2028"), st.characters(codec="utf-8")), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SIGNS, min_size=1, max_size=4))
+def test_chunks_give_the_same_ids(texts):
+    encoder = tokens.Encoder(public.path(tokens.VOCABULARY))
+    ids, at = encoder(pa.array([t.encode() for t in texts], pa.large_binary()))
+    plain = [[*tokens._tokenizer(public.path(tokens.VOCABULARY)).encode(t, add_special_tokens=False).ids, tokens.END] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == plain
+
+
 @pytest.mark.parametrize("options", [{}, {"cut": False}, {"file_bytes": 3000, "frame_bytes": 500}])
 def test_odd_rows(spark, options):
     vocabulary = public.path(tokens.VOCABULARY)
