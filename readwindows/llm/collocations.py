@@ -1,16 +1,17 @@
 """Phrases whose words stand together more often than apart, from exact n-gram counts.
 
 Texts become word codes once, a row per batch of some megabytes. Words that occur ``least`` times or more in their
-language get dense ids; no candidate phrase can hold another one. All phrases of 2 to ``longest`` such words inside a piece are
-packed into keys of ``longest`` ids, permuted, and counted per batch in counting quotient filters, one for
+language get dense ids; no candidate phrase can hold another one. All pairs of such words inside a piece are
+packed into keys, permuted, and counted per batch in counting quotient filters, one for
 each range of quotients (a shard). A shard's filters are merged by one task, and keys of at least ``least`` leave it;
-counting loses nothing. Scores and the removal of parts are joins of these phrases with
+counting loses nothing. Phrases of 3 to ``longest`` words are counted the same way, if all their pairs
+are that frequent: no other one can be. Scores and the removal of parts are joins of these phrases with
 each other.
 
 Defined cases: null text has no words; null lang is ``und``; doc_ids don't matter, so repeated rows and null ids count
 as rows of their own; equal scores and counts are ordered by phrase; an empty table and a language without candidates give
-no rows; extra columns are ignored. A phrase of several languages is counted in each. More than 33 million words of
-``least`` occurrences don't fit a key of 128 bits at ``longest=5`` and raise.
+no rows; extra columns are ignored. A phrase of several languages is counted in each. More than 33 million words (of
+all languages together) with ``least`` occurrences don't fit a key of 128 bits at ``longest=5`` and raise.
 """
 
 from __future__ import annotations
@@ -126,48 +127,108 @@ def _unpacked(high: np.ndarray, low: np.ndarray, longest: int, bits: int, width:
     return out
 
 
-def _phrases(batches: DataFrame, occurrences: int, words: int, least: int, longest: int) -> DataFrame:
-    """(ids, f): phrases of 2 to ``longest`` ids with at least ``least`` occurrences.
+def _with_ids(coded: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(batch, ids): ids of the frequent words in place of the codes, 0 for others; ``pairs`` has the codes' ids of each batch."""
+
+    def run(rows):
+        for batch in rows:
+            for number, raw, known in zip(batch.column("batch"), batch.column("codes"), batch.column("pairs"), strict=True):
+                codes = np.frombuffer(raw.as_buffer(), "<u4")
+                table = np.zeros(int(codes.max(initial=0)) + 1, "<u4")
+                table[known.values.field("code").to_numpy()] = known.values.field("id").to_numpy()
+                yield pa.RecordBatch.from_pydict({"batch": pa.array([number.as_py()], pa.int64()), "ids": pa.array([table[codes].tobytes()], pa.binary())})
+
+    return coded.join(pairs, "batch").mapInArrow(run, "batch long, ids binary")
 
-    ``batches`` has the codes and the pairs (code, id) of the frequent words of each batch.
+
+def _prefix(occurrences: int, width: quotient.Width) -> int:
+    """Bits of the shard's number."""
+    return min(max(0, ceil(occurrences / SHARD) - 1).bit_length(), width.high)
+
+
+def _counted(batches: DataFrame, keys, width: quotient.Width, prefix: int, bits: int, words: int, least: int) -> DataFrame:
+    """Rows of (ids, f), the phrases of ``least`` or more, and of (batch, held), which of them a batch has.
+
+    ``keys`` takes a row of ``batches`` and gives the upper and lower halves of its keys of ``words`` ids.
     """
-    bits = max(1, int(words).bit_length())
-    if bits * longest > 128:
-        raise ValueError(f"{words} frequent words don't fit keys of 128 bits for phrases of {longest} words")
-    width = quotient.Width(bits * longest)
-    prefix = min(max(0, ceil(occurrences * (longest - 1) / SHARD) - 1).bit_length(), width.high)
 
     def run(rows):
         for batch in rows:
-            for raw, pairs in zip(batch.column("codes"), batch.column("pairs"), strict=True):
-                codes = np.frombuffer(raw.as_buffer(), "<u4")
-                table = np.zeros(int(codes.max(initial=0)) + 1, np.uint64)
-                if pairs.is_valid:
-                    table[pairs.values.field("code").to_numpy()] = pairs.values.field("id").to_numpy().astype(np.uint64)
-                ids = np.append(table[codes], np.zeros(longest, np.uint64))
-                at, keys = np.flatnonzero(ids), []
-                for length in range(2, longest + 1):
-                    at = at[ids[at + length - 1] > 0]
-                    keys.append(_limbs(ids, at, length, longest, bits, width))
-                high, low, counts = quotient.totals(*width.permute(*(np.concatenate(x) for x in zip(*keys, strict=True))))
+            for row in range(batch.num_rows):
+                number = batch.column("batch")[row].as_py()
+                high, low, counts = quotient.totals(*width.permute(*keys(batch, row)))
                 shard = (high >> np.uint64(width.high - prefix)).astype(np.int64) if prefix else np.zeros(len(high), np.int64)
                 cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(high)] if len(high) else []
                 for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                     data = quotient.build(width, prefix, high[lo:hi], low[lo:hi], counts[lo:hi])
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard[lo]]), "filter": pa.array([data], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"batch": pa.array([number]), "shard": pa.array([shard[lo]]), "filter": pa.array([data], pa.binary())})
+
+    out = pa.schema([("batch", pa.int64()), ("held", pa.binary()), ("ids", pa.list_(pa.int64())), ("f", pa.int64())])
 
     def merged(rows: pa.Table) -> pa.Table:
+        top = rows.column("shard")[0].as_py()
         filters = [f.as_buffer() for f in rows.column("filter")]
-        high, low, counts = quotient.merge(width, prefix, rows.column("shard")[0].as_py(), filters)
+        high, low, counts = quotient.merge(width, prefix, top, filters)
         often = counts >= least
-        ids = _unpacked(*width.restore(high[often], low[often]), longest, bits, width)
+        ids = _unpacked(*width.restore(high[often], low[often]), words, bits, width)
         sizes = (ids > 0).sum(axis=1)
         listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids[ids > 0].astype(np.int64)))
-        return pa.table({"ids": listed, "f": counts[often]})
+        found = pa.table([pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), listed, pa.array(counts[often], pa.int64())], schema=out)
+        if words > 2 or not len(ids):
+            return found
+        # Two ids fit 64 bits.
+        whole = np.sort(high[often] << np.uint64(width.low) | low[often])
+        numbers, held = [], []
+        for number, data in zip(rows.column("batch").to_pylist(), filters, strict=True):
+            mine = quotient.read(width, prefix, top, data)[:2]
+            mine = mine[0] << np.uint64(width.low) | mine[1]
+            mine = mine[whole[np.minimum(np.searchsorted(whole, mine), len(whole) - 1)] == mine]
+            pair = width.restore(mine >> np.uint64(width.low), mine & np.uint64((1 << width.low) - 1))
+            numbers.append(number)
+            held.append((pair[0] << np.uint64(width.low) | pair[1]).astype("<u8").tobytes())
+        lists = pa.table([pa.array(numbers, pa.int64()), pa.array(held, pa.binary()), pa.nulls(len(held), out.field("ids").type), pa.nulls(len(held), pa.int64())], schema=out)
+        return pa.concat_tables([found, lists])
+
+    filters = batches.mapInArrow(run, "batch long, shard long, filter binary")
+    parts = int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return filters.repartition(max(parts, 1 << prefix), "shard").groupBy("shard").applyInArrow(merged, "batch long, held binary, ids array<long>, f long")
+
+
+def _phrases(batches: DataFrame, occurrences: int, words: int, least: int, longest: int) -> DataFrame:
+    """(ids, f): phrases of 2 to ``longest`` ids with at least ``least`` occurrences.
+
+    Pairs are counted first. A longer phrase can only be frequent if all its pairs are, so each batch gets
+    back which of its pairs are frequent, and counts the longer phrases that consist of these.
+    """
+    bits = max(1, int(words).bit_length())
+    if bits * max(longest, 2) > 128 or bits > 32:
+        raise ValueError(f"{words} frequent words don't fit keys of 128 bits for phrases of {longest} words")
+    narrow, width = quotient.Width(2 * bits), quotient.Width(bits * longest)
+
+    def pairs(batch: pa.RecordBatch, row: int):
+        ids = np.append(np.frombuffer(batch.column("ids")[row].as_buffer(), "<u4"), 0).astype(np.uint64)
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        return _limbs(ids, at, 2, 2, bits, narrow)
+
+    def longer(batch: pa.RecordBatch, row: int):
+        ids = np.append(np.frombuffer(batch.column("ids")[row].as_buffer(), "<u4"), [0] * longest).astype(np.uint64)
+        held = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column("held")[row].values]))
+        pair = (ids[:-1] << np.uint64(bits)) | ids[1:]
+        follows = held[np.minimum(np.searchsorted(held, pair), len(held) - 1)] == pair if len(held) else np.zeros(len(pair), bool)
+        at, keys = np.flatnonzero(follows & (ids[:-1] > 0) & (ids[1:] > 0)), []
+        for length in range(3, longest + 1):
+            at = at[follows[at + length - 2] & (ids[at + length - 1] > 0)]
+            keys.append(_limbs(ids, at, length, longest, bits, width))
+        return tuple(np.concatenate(x) for x in zip(*keys, strict=True))
 
-    filters = batches.mapInArrow(run, "shard long, filter binary")
-    shards = int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return filters.repartition(max(shards, 1 << prefix), "shard").groupBy("shard").applyInArrow(merged, "ids array<long>, f long")
+    two = stage(_counted(batches, pairs, narrow, _prefix(occurrences, narrow), bits, 2, least), "pairs")
+    found = two.where("f is not null").select("ids", "f")
+    if longest < 3:
+        return found
+    times = found.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0] * (longest - 2)
+    held = two.where("held is not null").groupBy("batch").agg(F.collect_list("held").alias("held"))
+    more = _counted(batches.join(held, "batch"), longer, width, _prefix(times, width), bits, longest, least)
+    return found.unionByName(more.select("ids", "f"))
 
 
 def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, batch_bytes: int = BATCH) -> DataFrame:
@@ -179,7 +240,8 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, batch_by
     known = stage(_dictionary(totals, least), "dictionary")
     words, occurrences = known.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
     pairs = listed.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("batch").agg(F.collect_list(F.struct("code", "id")).alias("pairs"))
-    found = stage(_phrases(coded.select("batch", "codes").join(pairs, "batch"), occurrences, words, least, longest).withColumn("k", F.monotonically_increasing_id()), "phrases")
+    batches = stage(_with_ids(coded.select("batch", "codes"), pairs), "ids")
+    found = stage(_phrases(batches, occurrences, words, least, longest).withColumn("k", F.monotonically_increasing_id()), "phrases")
     named = found.select("k", F.posexplode("ids").alias("pos", "id")).join(known.select("id", "lang", "word"), "id")
     named = named.groupBy("k").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("at"))
     named = named.join(found.select("k", "f"), "k").select("lang", F.col("at.word").alias("words"), "f")
