@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from readwindows import fixtures
 from readwindows.functions import kmers
-from readwindows.operators.similarity import BLOCK_LETTERS
+from readwindows.operators.similarity import EDITS
 from readwindows.operators.windows import SAMPLE_COLUMNS, WINDOW_KEY
 
 P = fixtures.PARAMS
@@ -261,16 +261,25 @@ ORACLES: dict[str, str] = {
     ),
     "j2_labels_max": sql("SELECT * FROM labelled", "labelled"),
     "j2_labels_first": sql("SELECT * FROM labelled_first", "labelled_first"),
+    # Every pair of sequences. The conditions on a pair follow from the last one (a letter put in or taken out changes one
+    # letter's count and at most three counts of two letters); they only save work.
     "j3_f12_similar_pairs": sql(
-        "SELECT a, b, round(val / CAST(greatest(length(a), length(b)) AS DOUBLE), 9) AS score "
-        "FROM lcs WHERE done = length(a) AND col = length(b)",
+        f"""SELECT a, b, round(val / CAST(greatest(length(a), length(b)) AS DOUBLE), 9) AS score
+            FROM lcs WHERE done = length(a) AND col = length(b) AND val >= greatest(length(a), length(b)) - {EDITS}""",
         "windows",
         more=f""",
-        seqs AS (SELECT seq, md5(seq) AS id, list_min(list_transform(range(1, greatest(length(seq) - {BLOCK_LETTERS} + 2, 2)), lambda i: md5(substr(seq, i, {BLOCK_LETTERS})))) AS block
-          FROM (SELECT DISTINCT query_subseq AS seq FROM windows)),
+        seqs AS (SELECT seq, row_number() OVER (ORDER BY seq) AS id, {", ".join(f"length(seq) - length(replace(seq, '{c}', '')) AS n{c}" for c in "ACGT")},
+            {", ".join(f"len(list_filter(range(1, length(seq)), lambda p: substr(seq, p, 2) = '{c}{d}')) AS n{c}{d}" for c in "ACGT" for d in "ACGT")}
+          FROM (SELECT DISTINCT query_subseq AS seq FROM windows WHERE query_subseq IS NOT NULL)),
+        candidates AS (
+          SELECT x.id AS i, y.id AS j, x.seq AS a, y.seq AS b FROM seqs x JOIN seqs y ON x.id < y.id
+          WHERE CASE WHEN abs(length(x.seq) - length(y.seq)) > {EDITS} THEN FALSE
+            WHEN {" + ".join(f"abs(x.n{c} - y.n{c})" for c in "ACGT")} > 2 * {EDITS} THEN FALSE
+            WHEN {" + ".join(f"abs(x.n{c}{d} - y.n{c}{d})" for c in "ACGT" for d in "ACGT")} > 6 * {EDITS} THEN FALSE
+            ELSE levenshtein(x.seq, y.seq) <= 2 * {EDITS} END),
         lcs AS (
-          SELECT x.id AS i, y.id AS j, x.seq AS a, y.seq AS b, 0 AS done, col, 0 AS val
-          FROM seqs x JOIN seqs y ON x.block = y.block AND x.seq < y.seq, LATERAL (SELECT unnest(range(1, length(y.seq) + 1)) AS col) c
+          SELECT i, j, a, b, 0 AS done, col, 0 AS val
+          FROM candidates, LATERAL (SELECT unnest(range(1, length(b) + 1)) AS col) c
           UNION ALL
           SELECT i, j, a, b, done + 1, col, max(cell) OVER (PARTITION BY i, j ORDER BY col)
           FROM (SELECT *, greatest(val, lag(val, 1, 0) OVER (PARTITION BY i, j ORDER BY col)

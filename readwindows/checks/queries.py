@@ -301,7 +301,7 @@ def j2_labels_first(spark, sf_dir):
 
 @query
 def j3_f12_similar_pairs(spark, sf_dir):
-    return similarity.similar_pairs(_windows(spark, sf_dir)).select("a", "b", _rounded("score"))
+    return similarity.near_pairs(_windows(spark, sf_dir)).select("a", "b", _rounded("score"))
 
 
 # Aggregations.
