@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readwindows.sources.layout import or_raise
+
 ON_ERROR = ("skip", "fail")
 
 # The table schema, and the fields of a SAM line in order.
@@ -73,8 +75,8 @@ def _read_sam(text: DataFrame, on_error: str) -> DataFrame:
         bad = lines.where(broken).select("source_file").distinct()
         lines = lines.join(bad, "source_file", "left_anti")
     else:
-        checked = F.when(broken, F.raise_error(F.concat(F.lit("malformed record in "), "source_file")))
-        lines = lines.withColumn("source_file", F.coalesce(checked.cast("string"), "source_file"))
+        # A filter, so that no choice of columns prunes the check away.
+        lines = lines.where(or_raise(broken, F.concat(F.lit("malformed record in "), "source_file")))
     sequence = F.nullif("seq", F.lit("*"))
     return lines.select(
         F.col("qname").alias("query_name"),

@@ -1,8 +1,9 @@
-"""Partition layout of scanned tables."""
+"""Partition layout and checks of scanned tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -13,3 +14,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def or_raise(broken: Column, message: Column) -> Column:
+    """A filter that all rows pass; it raises at a broken one."""
+    return F.when(broken, F.raise_error(message).cast("boolean")).otherwise(True)

@@ -196,3 +196,44 @@ def test_sample_files(spark, tmp_path, format):
     assert set(os.listdir(tmp_path / "s")) >= {f"split={s}" for s in dataset.SPLITS}
     with pytest.raises(ValueError):
         samples.read_split(spark, str(tmp_path / "s"), "dev", format)
+
+
+@pytest.mark.parametrize(
+    "asked",
+    [
+        lambda df: df.count(),
+        lambda df: df.select("query_name").collect(),
+        lambda df: df.where("query_name = 'r1'").collect(),
+        lambda df: df.where("flag > 3").select("flag").collect(),
+        lambda df: df.groupBy("reference_name").count().collect(),
+        lambda df: df.where("query_name = 'nobody'").count(),
+    ],
+)
+def test_sam_raises_whatever_is_read(spark, tmp_path, asked):
+    good = "\t".join(["r1", "0", "chr1", "5", "60", "3M", "*", "0", "0", "ACG", "*"])
+    (tmp_path / "a.sam").write_text(f"@HD\n{good}\n")
+    asked(alignments.read_alignments(spark, str(tmp_path), "sam"))
+    (tmp_path / "b.sam").write_text(f"{good}\ncut\toff\n{good}\n")
+    with pytest.raises(Exception, match="malformed record"):
+        asked(alignments.read_alignments(spark, str(tmp_path), "sam"))
+
+
+def test_malformed_peak_lines(spark, tmp_path):
+    good = ["chr1", "5", "90", "p1", "7", ".", "1.5", "2", "-1", "30"]
+    lines = ["track name=x", "browser position chr1", "# note", "", "  ", "\t".join(good), "\t".join([*good, "more"]), "\t".join([*good[:3], *[""] * 7])]
+    broken = ["chr1\t5", "\t".join(["chr1", "five", *good[2:]]), "\t".join(["", *good[1:]]), "\t".join([*good[:4], "7.5", *good[5:]]), "trackless\tx"]
+    path = tmp_path / "a.narrowPeak"
+    path.write_text("\n".join(lines) + "\n")
+    whole = ("chr1", 5, 90, "p1", 7, ".", 1.5, 2.0, -1.0, 30)
+    expected = sorted([whole, whole, ("chr1", 5, 90) + (None,) * 7], key=str)
+    assert sorted(map(tuple, bed.read_narrowpeak(spark, str(path)).collect()), key=str) == expected
+    assert bed.rejects(spark, str(path)).collect() == []
+    path.write_text("\n".join(lines + broken))
+    for asked in (lambda df: df.count(), lambda df: df.select("chrom").collect(), lambda df: df.where("score > 900").count()):
+        with pytest.raises(Exception, match="malformed line"):
+            asked(bed.read_narrowpeak(spark, str(path)))
+    assert sorted(map(tuple, bed.read_narrowpeak(spark, str(path), "skip").collect()), key=str) == expected
+    assert sorted(r.line for r in bed.rejects(spark, str(path)).collect()) == sorted(broken)
+    assert len(bed.rejects(spark, str(path), bed.BED3).collect()) == 4
+    with pytest.raises(ValueError, match="policy"):
+        bed.read_bed(spark, str(path), "ignore")
