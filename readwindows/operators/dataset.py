@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from readwindows.functions.sequences import prefix
 from readwindows.operators import ranking
 from readwindows.operators.windows import WINDOW_KEY
+from readwindows.session import broadcast_up_to, stage
 
 SPLITS = ("train", "val", "test")
+#: Repeated fingerprints that may be sent to all tasks (8 bytes each); more are joined by a shuffle.
+BROADCAST_PRINTS = 4_000_000
 
 
 def label(df: DataFrame, value: int) -> DataFrame:
@@ -30,13 +33,20 @@ def dedup(
 ) -> DataFrame:
     """Keep the first row, by ``order``, of all rows equal in ``by``.
 
-    An aggregate, so copies collapse before the shuffle: a sequence that fills a third of
+    Rows whose 64-bit fingerprint of ``by`` occurs once are kept as they are, without a shuffle: the
+    fingerprints alone are counted, by a hash aggregate on fixed-width rows. The others are compared in full by an
+    aggregate, so copies collapse before the shuffle: a sequence that fills a third of
     the table costs one row per task, where a window would gather all copies in one.
+    Counting is an action; ``df`` is read three times.
     """
+    marked = df.withColumn("_print", F.xxhash64(*by))
+    again = stage(marked.groupBy("_print").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_print"), "repeated")
+    again = broadcast_up_to(again, again.count(), BROADCAST_PRINTS)
     rest = [c for c in df.columns if c not in by and c not in order]
     kept = [c for c in order if c not in by]
-    first = df.groupBy(*by).agg(F.min(F.struct(*kept, *rest)).alias("first"))
-    return first.select(*[c if c in by else f"first.{c}" for c in df.columns])
+    first = marked.join(again, "_print", "left_semi").groupBy(*by).agg(F.min(F.struct(*kept, *rest)).alias("first"))
+    first = first.select(*[c if c in by else f"first.{c}" for c in df.columns])
+    return marked.join(again, "_print", "left_anti").select(*df.columns).unionByName(first)
 
 
 def downsample_per_group(
@@ -81,15 +91,9 @@ def split(
     keys: Sequence[str] = tuple(WINDOW_KEY),
 ) -> DataFrame:
     """Add ``split``: per class, ``val`` of the rows, then ``test`` of the rest, then train."""
-    ranked = ranking.hash_rank(df, keys, seed, groups=[stratify], name="_rank", total="_n")
-    n_val = F.ceil(F.lit(val) * F.col("_n"))
-    n_test = F.ceil(F.lit(test) * (F.col("_n") - n_val))
-    part = (
-        F.when(F.col("_rank") <= n_val, "val")
-        .when(F.col("_rank") <= n_val + n_test, "test")
-        .otherwise("train")
-    )
-    return ranked.select(*df.columns, part.alias("split"))
+    n_val = F.ceil(F.lit(val) * F.col("_total"))
+    n_test = F.ceil(F.lit(test) * (F.col("_total") - n_val))
+    return ranking.cut_at(df, keys, seed, [stratify], "split", {"val": n_val, "test": n_val + n_test}, "train")
 
 
 def part(df: DataFrame, name: str) -> DataFrame:

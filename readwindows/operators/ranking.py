@@ -3,7 +3,8 @@
 Random orders are the order of ``md5(seed-key)``: the same rows on every run and every
 cluster. Digests are uniform, so their first digits cut any group into even buckets; a
 histogram of the buckets gives each bucket's offset, and only the inside of a bucket is
-ever sorted by one task.
+ever sorted by one task. Where it is enough to know which rows come before a rank, ``digests_at`` finds the digest at that
+rank from keys alone, and the rows are only compared with it: they are never shuffled.
 """
 
 from __future__ import annotations
@@ -73,6 +74,29 @@ def hash_rank(
     )
 
 
+def digests_at(keyed: DataFrame, groups: Sequence[str], ranks: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(groups, name, digest, tied): the ``k``-th digest of a group, for each row (groups, name, k) of ``ranks``.
+
+    ``keyed`` has the groups and ``_h``; ``buckets`` is its ``_histogram``. ``tied``: rows of the same digest
+    stand on both sides of the rank. Only the rows of one bucket for each rank are sorted. A staged table.
+    """
+    if not groups:
+        keyed, ranks, buckets = (t.withColumn("_one", F.lit(1)) for t in (keyed, ranks, buckets))
+    by = [*groups] or ["_one"]
+    inside = ranks.join(buckets, by).where("k > _before and k <= _before + _rows")
+    cuts = stage(inside.select(*by, "name", "_bucket", (F.col("k") - F.col("_before")).alias("_k")), "cuts")
+    wanted = cuts.select(*by, "_bucket").distinct()
+    order = Window.partitionBy(*by, "_bucket").orderBy("_h")
+    rows = keyed.join(_if_small(wanted), [*by, "_bucket"], "left_semi").select(*by, "_bucket", "_h")
+    rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("_h").over(order))
+    found = rows.join(cuts.withColumnRenamed("_k", "_n"), [*by, "_bucket", "_n"])
+    return stage(found.select(*groups, "name", F.col("_h").alias("digest"), F.coalesce(F.col("_h") == F.col("_next"), F.lit(False)).alias("tied")), "thresholds")
+
+
+def _if_small(table: DataFrame) -> DataFrame:
+    return broadcast_up_to(table, table.count(), BROADCAST_GROUPS)
+
+
 def match_negatives(
     labelled: DataFrame,
     keys: Sequence[str],
@@ -84,51 +108,61 @@ def match_negatives(
     """All positives, and per group exactly as many negatives in seeded random order.
 
     A group with fewer negatives keeps them all, or raises under ``strict``.
-    The cut bucket of each group is found first (an action on keys and labels only); the
-    rows beyond it are dropped before anything is shuffled. ``counted`` may give the same
-    rows for that first pass, with only the keys, groups and labels, where that is cheaper.
+    The last digest of each group that stays is found first (actions on keys and labels only), so
+    that rows are only compared with it. ``counted`` may give the same
+    rows for that pass, with only the keys, groups and labels, where that is cheaper.
+    Rows that share all keys count one by one: if the cut falls among them, they are ranked.
     """
-    bucketed = _with_buckets(labelled, seed, keys)
     counted = labelled if counted is None else counted
-    group = Window.partitionBy(*groups)
-    by_label = Window.partitionBy(*groups, "labels")
-    earlier = by_label.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
-        _with_buckets(counted, seed, keys)
-        .groupBy(*groups, "labels", "_bucket")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_positive", F.sum(F.when(F.col("labels") == 1, F.col("_rows")).otherwise(0)).over(group))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .where((F.col("labels") == 0) & (F.col("_before") < F.col("_positive")))
-        .groupBy(*groups)
-        .agg(
-            F.max("_bucket").alias("_cut"),
-            F.max_by(F.col("_positive") - F.col("_before"), "_bucket").alias("_take"),
-        )
-    )
+    by = [*groups, "labels"]
+    keyed = stage(_with_buckets(counted, seed, keys).select(*by, "_h", "_bucket"), "keys")
+    sizes = keyed.groupBy(*groups).agg(F.count_if(F.col("labels") == 1).alias("_positive"), F.count_if(F.col("labels") == 0).alias("_negative"))
+    sizes = stage(sizes, "sizes")
+    if strict and sizes.where("_positive > _negative").limit(1).count():
+        raise ValueError("fewer negative than positive samples: cannot sample without replacement")
+    negatives = keyed.where("labels = 0")
+    ranks = sizes.where("_positive > 0 and _negative > 0").select(*groups, F.lit("last").alias("name"), F.least("_positive", "_negative").alias("k"))
+    last = digests_at(negatives, groups, ranks, _histogram(negatives, groups))
+    tied = last.where("tied").limit(1).count() > 0
     if groups:
-        cuts = stage(cuts, "cuts")
-        known = bucketed.join(broadcast_up_to(cuts, cuts.count(), BROADCAST_GROUPS), [*groups], "left")
+        known = labelled.withColumn("_h", digest(seed, keys)).join(_if_small(last.drop("name", "tied")), [*groups], "left")
     else:
-        cut = cuts.first() or (None, None)
-        known = bucketed.withColumn("_cut", F.lit(cut[0]).cast("string")).withColumn(
-            "_take", F.lit(cut[1]).cast("bigint")
-        )
-    if strict:
-        _require_enough(counted, groups)
+        only = last.first()
+        known = labelled.withColumn("_h", digest(seed, keys)).withColumn("digest", F.lit(only.digest if only else None).cast("string"))
     positive = F.col("labels") == 1
-    return (
-        known.where(positive | (F.col("_bucket") <= F.col("_cut")))
-        .withColumn("_n", _row_in_bucket([*groups, "labels"], keys))
-        .where(positive | (F.col("_bucket") < F.col("_cut")) | (F.col("_n") <= F.col("_take")))
-        .select(*labelled.columns)
-    )
-
-
-def _require_enough(labelled: DataFrame, groups: Sequence[str]) -> None:
-    excess = F.count_if(F.col("labels") == 1) - F.count_if(F.col("labels") == 0)
-    if labelled.groupBy(*groups).agg(excess.alias("_excess")).where("_excess > 0").limit(1).count():
-        raise ValueError("fewer negative than positive samples: cannot sample without replacement")
+    before = F.col("_h") <= F.col("digest")
+    if not tied:
+        return known.where(positive | before).select(*labelled.columns)
+    # Of the rows that share the last digest only so many as are still missing.
+    order = Window.partitionBy(*groups, "labels").orderBy("_h", *keys)
+    low = known.where(positive | before).select(*labelled.columns, "_h")
+    low = low.withColumn("_n", F.row_number().over(order))
+    low = low.join(sizes, [*groups]) if groups else low.withColumn("_positive", F.lit(sizes.first()._positive))
+    return low.where(positive | (F.col("_n") <= F.col("_positive"))).select(*labelled.columns)
+
+
+def cut_at(df: DataFrame, keys: Sequence[str], seed: int | str, groups: Sequence[str], name: str, shares: dict[str, Column], rest: str) -> DataFrame:
+    """Add ``name``: the first rows of each group in seeded random order get the first share's name, and so on.
+
+    ``shares`` gives the last rank of each name, in order, from ``_total``, the size of the group; rows behind
+    all of them get ``rest``. Rows are compared with the digests at these ranks; only if one falls among
+    rows that share all keys, they are ranked.
+    """
+    keyed = stage(_with_buckets(df, seed, keys).select(*groups, "_h", "_bucket"), "keys")
+    buckets = _histogram(keyed, groups)
+    totals = stage(keyed.groupBy(*groups).agg(F.count("*").alias("_total")), "sizes")
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), rank.cast("bigint").alias("k")) for n, rank in shares.items()])
+    ranks = totals.select(*groups, F.inline(listed)).where("k > 0")
+    found = digests_at(keyed, groups, ranks, buckets)
+    if found.where("tied").limit(1).count():
+        place = hash_rank(df, keys, seed, groups, name="_rank", total="_total")
+        chosen = F.coalesce(*[F.when(F.col("_rank") <= rank, n) for n, rank in shares.items()], F.lit(rest))
+        return place.withColumn(name, chosen).select(*df.columns, name)
+    last = found.groupBy(*groups).pivot("name", list(shares)).agg(F.first("digest"))
+    last = stage(last.toDF(*groups, *[f"_last_{n}" for n in shares]), "thresholds")
+    known = df.withColumn("_h", digest(seed, keys)).join(_if_small(last), [*groups], "left")
+    chosen = F.coalesce(*[F.when(F.col("_h") <= F.col(f"_last_{n}"), n) for n in shares], F.lit(rest))
+    return known.withColumn(name, chosen).select(*df.columns, name)
 
 
 def ordered_positions(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

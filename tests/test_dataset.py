@@ -5,6 +5,7 @@ import pytest
 from helpers import plan_of
 from pyspark.sql import functions as F
 
+from readwindows.session import stage
 from readwindows import Params
 from readwindows.operators import dataset, ranking
 from readwindows.plans.prepare import prepare
@@ -74,6 +75,45 @@ def test_balance(spark):
     assert dataset.balance(rows(spark).where("labels = 0"), keys=KEYS).count() == 0
 
 
+def test_rows_that_share_all_keys_count_one_by_one(spark):
+    same = spark.range(40).select(F.lit(1).alias("id"), F.lit("f").alias("source_file"), (F.col("id") < 13).cast("int").alias("labels"))
+    for found in (dataset.balance(same, keys=KEYS), dataset.downsample_per_group(same, keys=KEYS)):
+        assert {r.labels: r["count"] for r in found.groupBy("labels").count().collect()} == {0: 13, 1: 13}
+    sizes = {r.split: r["count"] for r in dataset.split(same.where("labels = 0"), keys=KEYS).groupBy("split").count().collect()}
+    assert sizes == {"val": 6, "test": 5, "train": 16}
+
+
+def test_ranks_of_the_split(spark):
+    data = [tuple(r) for r in rows(spark).collect()]
+    expected = {}
+    for label in (0, 1):
+        ids = sorted((i for i, _, l in data if l == label), key=lambda i: md5(42, i))
+        val = math.ceil(0.2 * len(ids))
+        test = math.ceil(0.2 * (len(ids) - val))
+        expected |= {i: "val" if k < val else "test" if k < val + test else "train" for k, i in enumerate(ids)}
+    assert {r.id: r.split for r in dataset.split(rows(spark), keys=KEYS).collect()} == expected
+
+
+def test_payloads_are_not_shuffled(spark):
+    df = stage(window_rows(spark).unionByName(window_rows(spark).withColumn("window_index", F.col("window_index") + 10)), "rows")
+    for made in (dataset.downsample_per_group(df), dataset.balance(df, strict=False), dataset.split(df)):
+        plan = plan_of(made)
+        assert "query_subseq" in plan and "Window" not in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    single = stage(window_rows(spark).where("note <> 'second'"), "rows")
+    plan = plan_of(dataset.dedup(single))
+    unique = plan.split("(1) Scan")[0].split("Union")[1].split("SortAggregate")[0]
+    assert "BroadcastHashJoin LeftAnti" in unique and "Exchange" not in unique.replace("BroadcastExchange", "")
+
+
+def test_dedup_compares_in_full(spark, monkeypatch):
+    # Fingerprints of the pairs (label, sequence) that are all but sure to be alike: few of them, by a short hash.
+    monkeypatch.setattr(dataset.F, "xxhash64", lambda *columns: F.length(F.concat_ws("", *columns)))
+    data = [("f", k, 0, f"S{k % 50:02d}", k % 2) for k in range(400)]
+    df = spark.createDataFrame(data, "source_file string, read_ordinal bigint, window_index bigint, query_subseq string, labels int")
+    found = sorted((r.query_subseq, r.labels, r.read_ordinal) for r in dataset.dedup(df).collect())
+    assert found == sorted((f"S{k:02d}", k % 2, k) for k in range(50))
+
+
 def test_ordered_positions(spark):
     df = spark.range(5000, numPartitions=7).select((F.col("id") * 7919 % 5003).alias("v"))
     found = ranking.ordered_positions(df, ["v"], "at").collect()
