@@ -5,7 +5,9 @@ naive range join, and window functions over whole groups. For checks on small da
 from __future__ import annotations
 
 from readwindows import fixtures
+from readwindows.checks.queries import EPOCHS, K_TRAIN, MINI_BATCHES, SETTINGS
 from readwindows.functions import kmers
+from readwindows.operators import training
 from readwindows.operators.similarity import EDITS
 from readwindows.operators.windows import SAMPLE_COLUMNS, WINDOW_KEY
 
@@ -190,6 +192,73 @@ def batch_of(source: str, order: str) -> str:
     return f"(row_number() OVER (ORDER BY {order}) - 1) // {P.batch_size}"
 
 
+def trained(select: str, epochs: int, batches: int) -> str:
+    """Every step of the training written out: features, logits, gradients and the optimizer, for all settings.
+
+    Offers ``weights``, and ``reports`` with the epoch's losses, accuracies and area of every setting (s).
+    """
+    settings = ", ".join(f"({s}, CAST({c.learning_rate!r} AS DOUBLE), CAST({c.l2!r} AS DOUBLE))" for s, c in enumerate(SETTINGS))
+    b1, b2, eps = training.BETA1, training.BETA2, training.EPSILON
+    bins = training.SCORE_PARTS
+    loss = "greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))"
+    right = "CAST(CAST(1 / (1 + exp(-z)) > 0.5 AS INT) = y AS DOUBLE)"
+
+    def rows(split: str) -> str:
+        ids = f"list_transform({kmer_list('query_subseq', K_TRAIN)}, lambda g: {kmer_id('g', K_TRAIN)})"
+        return f"""
+          SELECT r, y, b, id, count(*) / CAST(any_value(n) AS DOUBLE) AS x
+          FROM (SELECT r, y, b, unnest(l) AS id, len(l) AS n FROM (
+            SELECT row_number() OVER (ORDER BY {KEY}) AS r, labels AS y, CAST('0x' || substr(md5('{P.seed}-' || query_subseq), 1, 8) AS BIGINT) % {batches} AS b, {ids} AS l
+            FROM splits WHERE split = '{split}')) GROUP BY r, y, b, id
+          UNION ALL
+          SELECT row_number() OVER (ORDER BY {KEY}) AS r, labels, CAST('0x' || substr(md5('{P.seed}-' || query_subseq), 1, 8) AS BIGINT) % {batches}, -1, 1.0
+          FROM splits WHERE split = '{split}'"""
+
+    steps = [f"train_rows AS MATERIALIZED ({rows('train')})", f"val_rows AS MATERIALIZED ({rows('val')})"]
+    steps.append(
+        f"""w0 AS MATERIALIZED (SELECT s, rate, l2, id, 0e0 AS w, 0e0 AS m, 0e0 AS v
+          FROM (VALUES {settings}) t(s, rate, l2), (SELECT unnest(range(-1, {4**K_TRAIN + kmers.FIRST_KMER_ID})) AS id))"""
+    )
+    t, reports = 0, []
+    for epoch in range(1, epochs + 1):
+        begun = t
+        for b in training.batch_order(batches, P.seed, epoch):
+            t += 1
+            steps += [
+                f"z{t} AS MATERIALIZED (SELECT s, r, y, sum(x * w) AS z FROM train_rows JOIN w{t - 1} USING (id) WHERE b = {b} GROUP BY s, r, y)",
+                f"""g{t} AS MATERIALIZED (SELECT s, id, sum((1 / (1 + exp(-z)) - z{t}.y) * x) / (SELECT count(DISTINCT r) FROM z{t}) AS g
+                  FROM z{t} JOIN train_rows USING (r) GROUP BY s, id)""",
+                f"""w{t} AS MATERIALIZED (
+                  SELECT s, rate, l2, id, w - rate * (m / (1 - {b1} ** {t})) / (sqrt(v / (1 - {b2} ** {t})) + {eps}) AS w, m, v
+                  FROM (SELECT s, rate, l2, id, w, {b1} * m + (1 - {b1}) * g AS m, {b2} * v + (1 - {b2}) * g * g AS v
+                    FROM (SELECT o.*, coalesce(g, 0) + CASE WHEN id = -1 THEN 0 ELSE l2 * w END AS g FROM w{t - 1} o LEFT JOIN g{t} USING (s, id))))""",
+            ]
+        seen = " UNION ALL ".join(f"SELECT * FROM z{u}" for u in range(begun + 1, t + 1))
+        steps += [
+            f"v{epoch} AS MATERIALIZED (SELECT s, r, y, sum(x * w) AS z FROM val_rows JOIN w{t} USING (id) GROUP BY s, r, y)",
+            f"""a{epoch} AS (SELECT s, sum(p * (sum_n - n + n / 2e0)) / (sum(p) * sum(n)) AS auc FROM (
+              SELECT s, bin, p, n, sum(n) OVER (PARTITION BY s ORDER BY bin) AS sum_n FROM (
+                SELECT s, least(floor({bins} / (1 + exp(-z))), {bins - 1}) AS bin, sum(y) AS p, sum(1 - y) AS n FROM v{epoch} GROUP BY s, bin)) GROUP BY s)""",
+        ]
+        reports.append(
+            f"""SELECT s, {epoch} AS epoch, train_loss, train_accuracy, val_loss, val_accuracy, auc FROM a{epoch}
+              JOIN (SELECT s, avg({loss}) AS train_loss, avg({right}) AS train_accuracy FROM ({seen}) GROUP BY s) USING (s)
+              JOIN (SELECT s, avg({loss}) AS val_loss, avg({right}) AS val_accuracy FROM v{epoch} GROUP BY s) USING (s)"""
+        )
+    steps.append(f"reports AS MATERIALIZED ({' UNION ALL '.join(reports)})")
+    steps.append(f"weights AS (SELECT * FROM w{t})")
+    # Which settings go on after each epoch: those whose best area reaches the median of the epoch.
+    steps.append("live1 AS (SELECT s FROM w0 GROUP BY s)")
+    for epoch in range(1, epochs):
+        steps.append(
+            f"""live{epoch + 1} AS (SELECT s FROM reports JOIN live{epoch} USING (s) WHERE epoch <= {epoch} GROUP BY s
+              HAVING max(auc) >= (SELECT median(auc) FROM reports JOIN live{epoch} USING (s) WHERE epoch = {epoch}))"""
+        )
+    runs = " UNION ALL ".join(f"SELECT s, {e} AS epoch FROM live{e}" for e in range(1, epochs + 1))
+    steps.append(f"runs AS MATERIALIZED ({runs})")
+    return sql(select, "splits", more=", " + ", ".join(steps))
+
+
 ORACLES: dict[str, str] = {
     "s1_narrowpeak_scan": sql(f"SELECT {NARROWPEAK} FROM peaks", "peaks"),
     "s2_s3_bed_round_trip": sql('SELECT chrom, start, "end" FROM peaks', "peaks"),
@@ -433,4 +502,25 @@ ORACLES: dict[str, str] = {
             FROM scores CROSS JOIN (SELECT {AP} AS ap, {AUC} AS auc FROM by_score)""",
         "by_score",
     ),
+    "m4_training_history": trained(
+        """SELECT epoch, round(train_loss, 6) AS train_loss, round(train_accuracy, 6) AS train_accuracy,
+             round(val_loss, 6) AS val_loss, round(val_accuracy, 6) AS val_accuracy, round(auc, 6) AS val_auc FROM reports WHERE s = 0""",
+        EPOCHS,
+        MINI_BATCHES,
+    ),
+    "m1_m2_epoch_scores": trained(
+        f"""SELECT source_file, read_ordinal, window_index, labels AS label, round(z, 6) AS logit, round(1 / (1 + exp(-z)), 6) AS score,
+             CAST(1 / (1 + exp(-z)) > 0.5 AS INT) AS prediction
+           FROM (SELECT *, row_number() OVER (ORDER BY {KEY}) AS r FROM splits WHERE split = 'val') JOIN (SELECT r, z FROM v{EPOCHS} WHERE s = 0) USING (r)""",
+        EPOCHS,
+        MINI_BATCHES,
+    ),
+    "m3_tuning": trained(
+        f"""SELECT rate AS learning_rate, l2, CAST(epochs AS INT) AS epochs, epochs < {EPOCHS} AS pruned, round(auc, 6) AS auc,
+             s = first_value(s) OVER (ORDER BY auc DESC, s) AS best
+           FROM (SELECT s, any_value(rate) AS rate, any_value(l2) AS l2 FROM w0 GROUP BY s)
+           JOIN (SELECT s, count(*) AS epochs, max(auc) AS auc FROM reports JOIN runs USING (s, epoch) GROUP BY s) USING (s)""",
+        EPOCHS,
+        MINI_BATCHES,
+    ),
 }

@@ -22,6 +22,7 @@ from readwindows.operators import (
     ranking,
     reads as read_ops,
     similarity,
+    training,
     windows,
 )
 from readwindows.params import Params
@@ -560,6 +561,9 @@ def _language_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 K_MODEL = 4
+# Of the epochs and the search: small enough for the SQL to spell out every step.
+K_TRAIN, EPOCHS, MINI_BATCHES = 2, 4, 2
+SETTINGS = [training.Setting(0.05), training.Setting(0.01), training.Setting(0.2), training.Setting(0.2, 0.01), training.Setting(0.002, 0.1)]
 
 
 @query
@@ -578,13 +582,24 @@ def m1_u3_model_report(spark, sf_dir):
 
 @query
 def m3_tuning(spark, sf_dir):
-    tables = _language_windows(spark, sf_dir)
-    return model.tune(
-        dataset.part(tables, "train"), dataset.part(tables, "val"), model.grid(regParam=[0.01, 0.1, 1.0]), K_MODEL
-    )
+    """Settings tried side by side, weak ones stopped early."""
+    splits = stage(_prepared(spark, sf_dir).splits)
+    found = training.search(dataset.part(splits, "train"), dataset.part(splits, "val"), SETTINGS, K_TRAIN, EPOCHS, MINI_BATCHES, PARAMS.seed)
+    return found.withColumn("auc", F.round("auc", 6))
 
 
 @query
 def m4_training_history(spark, sf_dir):
-    tables = _language_windows(spark, sf_dir)
-    return model.history(model.fit(dataset.part(tables, "train"), K_MODEL), spark)
+    """Loss and accuracy of both tables, epoch by epoch."""
+    splits = stage(_prepared(spark, sf_dir).splits)
+    _, history = training.train(dataset.part(splits, "train"), dataset.part(splits, "val"), K_TRAIN, EPOCHS, MINI_BATCHES, SETTINGS[0].learning_rate, SETTINGS[0].l2, PARAMS.seed)
+    return history.select("epoch", *[F.round(c, 6).alias(c) for c in history.columns if c != "epoch"])
+
+
+@query
+def m1_m2_epoch_scores(spark, sf_dir):
+    """Validation windows with the scores of the classifier after the last epoch."""
+    splits = stage(_prepared(spark, sf_dir).splits)
+    fitted, _ = training.train(dataset.part(splits, "train"), dataset.part(splits, "val"), K_TRAIN, EPOCHS, MINI_BATCHES, SETTINGS[0].learning_rate, SETTINGS[0].l2, PARAMS.seed)
+    scored = training.score(fitted, splits.where("split = 'val'"))
+    return scored.select(*windows.WINDOW_KEY, "label", F.round("logit", 6).alias("logit"), F.round("score", 6).alias("score"), "prediction")
