@@ -8,8 +8,8 @@ benchmark's own vocabulary are put into the array: no other one can match.
 The benchmark travels to the tasks in blocks of about ``BLOCK`` bytes of text. Documents pass
 one block after another, written in between, without any shuffle: a benchmark of any size is exact.
 
-Defined cases: null and empty texts have no words; a benchmark row without words, or with
-a null id, finds nothing; equal ids count once; rows of ``docs`` are judged one by one, so
+Defined cases: null and empty texts have no words; a benchmark row without words
+finds nothing; the words of one with a null id are hit like others, but it is in no list of items; equal ids count once; rows of ``docs`` are judged one by one, so
 repeated and null ids are kept; other columns are ignored. Empty tables give no rows, or
 rows without hits.
 """
@@ -148,7 +148,9 @@ def _hits(column: pa.Array, tests: TestSuffixes) -> tuple[np.ndarray, list[list[
             begin = at[mine] - shard.base[d]
             hits[d] = np.column_stack(_merged(begin, begin + n[mine])).ravel().tolist()
         for pair in np.unique(np.concatenate(doc_items)):
-            names[pair // len(tests.names)].append(tests.names[pair % len(tests.names)])
+            name = tests.names[pair % len(tests.names)]
+            if name is not None:
+                names[pair // len(tests.names)].append(name)
     return shard.n_words, hits, names
 
 
@@ -163,8 +165,8 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[Callable[[], list[tuple[str, str]]]]:
     """Readers of the items in lists of some ``block`` bytes of text, so that one list is in the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("t"))
-    items = items.where("id is not null and t is not null")
-    total = items.agg(F.sum(F.octet_length("t") + F.octet_length("id"))).first()[0] or 0
+    items = items.where("t is not null")
+    total = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("id"), F.lit(0)))).first()[0] or 0
     n = ceil(total / block) or 1
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == b)
