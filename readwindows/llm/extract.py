@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
@@ -48,42 +49,67 @@ _PIECE = re.compile(r"[A-Za-z]+")
 
 @dataclass
 class Block:
-    """The words above a leaf block, its text, and how many of its letters are links."""
+    """The different words above a leaf block, its text, how many of its letters are links, and the two tags next above."""
 
-    above: tuple[str, ...]
+    above: Collection[str]
     text: str
     linked: int = 0
+    tags: tuple[str, ...] | None = None
+
+    def nearest(self) -> tuple[str, ...]:
+        return tuple(w for w in self.above if w[0] == "t")[-2:] if self.tags is None else self.tags
+
+
+@dataclass(frozen=True)
+class _Level:
+    """An open tag. A level without new words shares the set of the level above, so deep nesting costs nothing."""
+
+    tag: str
+    words: frozenset[str]
+    tags: tuple[str, ...]
+
+    def below(self, tag: str, marks: list[str]) -> _Level:
+        new = [w for w in (f"t:{tag}", *marks) if w not in self.words]
+        return _Level(tag, self.words.union(new) if new else self.words, (*self.tags[-1:], f"t:{tag}"))
+
+
+_ROOT = _Level("", frozenset(), ())
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order, character references decoded and white space joined."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Level] = []
+    open_tags: Counter[str] = Counter()
     held: list[tuple[str, bool]] = []
 
     def close() -> None:
         text = " ".join("".join(t for t, _ in held).split())
         if text:
             linked = sum(len(" ".join(t.split())) for t, link in held if link)
-            out.append(Block(tuple(w for _, words in stack for w in words), text, min(linked, len(text))))
+            top = stack[-1] if stack else _ROOT
+            out.append(Block(top.words, text, min(linked, len(text)), top.tags))
         held.clear()
 
     def end(names: tuple[str, ...], stop: frozenset[str] = frozenset()) -> None:
+        if not any(open_tags[t] for t in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                if any(t in BLOCK_TAGS for t, _ in stack[k:]):
+            if stack[k].tag in names:
+                if any(level.tag in BLOCK_TAGS for level in stack[k:]):
                     close()
+                open_tags.subtract(level.tag for level in stack[k:])
                 del stack[k:]
                 return
-            if stack[k][0] in stop:
+            if stack[k].tag in stop:
                 return
 
     at, n, hidden = 0, len(page), 0
     while at < n:
         tag = _TAG.search(page, at)
         upto = tag.start() if tag else n
-        if upto > at and not any(t in HIDDEN_TAGS for t, _ in stack):
-            held.append((html.unescape(page[at:upto]), any(t == "a" for t, _ in stack)))
+        if upto > at and not any(open_tags[t] for t in HIDDEN_TAGS):
+            held.append((html.unescape(page[at:upto]), open_tags["a"] > 0))
         if not tag:
             break
         at = tag.end()
@@ -103,11 +129,13 @@ def blocks(page: str) -> list[Block]:
                 end(("p",), _KEEPERS)
             close()
         if name == "body":
-            stack[:] = [s for s in stack if s[0] == "html"]
+            stack[:] = [s for s in stack if s.tag == "html"]
+            open_tags = Counter(s.tag for s in stack)
         if name in VOID_TAGS or rest.endswith("/"):
             continue
         marks = (m for groups in _MARK.findall(rest) for m in groups if m) if "=" in rest else ()
-        stack.append((name, (f"t:{name}", *(f"c:{w.lower()}" for m in marks for w in _PIECE.findall(m)))))
+        stack.append((stack[-1] if stack else _ROOT).below(name, [f"c:{w.lower()}" for m in marks for w in _PIECE.findall(m)]))
+        open_tags[name] += 1
         if name in RAW_TAGS:
             found = re.compile(f"</{name}", re.I).search(page, at)
             at = found.start() if found else n
@@ -140,7 +168,7 @@ def features(found: list[Block]) -> list[np.ndarray]:
     out = []
     for k, block in enumerate(found):
         names = set(block.above)
-        tags = [w for w in block.above if w[0] == "t"]
+        tags = block.nearest()
         names.add(f"own:{tags[-1] if tags else ''}")
         names.add(f"two:{'/'.join(tags[-2:])}")
         names.update(_buckets(block))

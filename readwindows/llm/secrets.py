@@ -20,6 +20,7 @@ ignored elsewhere; a corpus without candidates still trains on the made forms.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 from math import log
@@ -40,6 +41,8 @@ DICTIONARY_SHARE, SHORTEST, LONGEST = 1e-6, 3, 12
 TREES, DEPTH, SEED = 40, 8, 5
 THRESHOLD = 0.5
 MASK = "[SECRET]"
+#: Stands for every letter without case.
+UNCASED = "\u00aa"
 NEAR = 40
 
 #: Names of secrets, and words beside strings that are none.
@@ -47,7 +50,7 @@ SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_k
 PUBLIC_WORDS = ("sha", "sha1", "sha256", "md5", "commit", "checksum", "hash", "digest", "uuid", "guid", "example", "sample", "placeholder", "version", "build", "http", "https", "www", "isbn", "order", "phone")
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
-_ASSIGNED = re.compile(r"(?i)\b(?:[a-z0-9]+[_\-])*(?:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key)[\"']?\s*[:=]+\s*[\"']?([^\s\"',;|]{6,})")
+_ASSIGNED = re.compile(r"(?i)(?:\b|(?<=[a-z0-9]_))(?:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key)[\"']?\s*[:=]+\s*[\"']?([^\s\"',;|]{6,})")
 _WORD = re.compile(r"[a-z0-9_\-]+")
 _NAMES = ("length", "transitions", "coverage", "digits", "upper", "signs", "entropy", "hex", "classes", "in_path", "assigned", "quoted", "secret_words", "public_words", "repeats")
 _FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("secret", pa.bool_())])
@@ -94,7 +97,8 @@ class Language:
 def language(docs: DataFrame) -> Language:
     """Words of all documents that make up ``DICTIONARY_SHARE`` of all words or more, and the letter transitions of all words.
 
-    The share bounds the dictionary by its inverse; the transitions are bounded by the pairs of letters.
+    The share bounds the dictionary by its inverse. Letters without case, as those of Han, Kana or Arabic, count as one
+    letter (``_plain``), so transitions are bounded by the pairs of cased letters, of which there are some hundreds.
     """
     words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("w")).where("w <> ''")
     counts = stage(words.groupBy("w").agg(F.count("*").alias("n")), "words")
@@ -102,15 +106,22 @@ def language(docs: DataFrame) -> Language:
     # ``coverage`` looks up 3 to 12 letters.
     known = counts.where(F.length("w").between(SHORTEST, LONGEST) & (F.col("n") >= F.lit(least))).select("w").collect()
     steps = F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substr(F.concat(F.lit("^"), "w", F.lit("$")), i, F.lit(2)))
-    pairs = {r.p: r.n for r in counts.select(F.explode(steps).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    shapes = counts.select(F.regexp_replace("w", r"[\p{Lo}\p{Lm}]", UNCASED).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+    pairs = {r.p: r.n for r in shapes.select(F.explode(steps).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).collect()}
     total = sum(pairs.values()) + 1
     return Language(frozenset(r.w for r in known), {p: log(n / total) for p, n in pairs.items()}, log(0.5 / total))
 
 
+def _plain(s: str) -> str:
+    """Letters without case as one letter."""
+    return s if s.isascii() else "".join(UNCASED if unicodedata.category(c) in ("Lo", "Lm") else c for c in s)
+
+
 def features(text: str, start: int, end: int, lang: Language) -> list[float]:
     s = text[start:end]
     low, n = s.lower(), end - start
-    steps = [lang.transitions.get(a + b, lang.floor) for a, b in zip(low, low[1:])]
+    shape = _plain(low)
+    steps = [lang.transitions.get(a + b, lang.floor) for a, b in zip(shape, shape[1:])]
     counts = Counter(s)
     before, after = text[max(0, start - NEAR) : start].lower(), text[end : end + NEAR].lower()
     near = _WORD.findall(before)[-4:] + _WORD.findall(after)[:3]
