@@ -23,13 +23,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readwindows.session import stage
+
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DEFAULT = "allow"
 SAMPLE = 20_000
 SUPPORT, CONFIDENCE = 0.005, 0.8
-#: Tokens in a mined rule, and mined rules, at most: the surest and best supported stay.
-RULE_TOKENS, RULE_COUNT = 4, 20_000
+#: Tokens in a mined rule, at most. The support bounds how many rules there are.
+RULE_TOKENS = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,19 +92,15 @@ class Index:
         return best
 
 
-def pruned(rules: Iterable[tuple[tuple[str, ...], str, float, float]]) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """Rules without those of which a part is at least as sure of the same label."""
-    kept: dict[tuple[frozenset[str], str], float] = {}
-    out = []
-    for needed, label, confidence, support in sorted(rules, key=lambda r: (len(r[0]), r)):
-        own = frozenset(needed)
-        smaller = [own - {t} for t in own] + [frozenset({t}) for t in own]
-        if any(kept.get((s, label), -1.0) >= confidence for s in smaller if s != own):
-            kept[own, label] = max(kept.get((s, label), -1.0) for s in smaller)
-            continue
-        kept[own, label] = confidence
-        out.append((needed, label, confidence, support))
-    return out
+def pruned(rules: DataFrame) -> DataFrame:
+    """(needed, label, confidence, support) without the rules of which a part is at least as sure of the same label."""
+    rules = stage(rules, "rules")
+    sizes = F.sequence(F.lit(1), F.expr(f"cast(shiftleft(1, least(size(needed), {RULE_TOKENS})) as int) - 2"))
+    chosen = rules.where(F.size("needed") > 1).select("needed", "label", "confidence", F.explode(sizes).alias("mask"))
+    part = F.expr("filter(needed, (x, i) -> (shiftright(mask, i) & 1) = 1)")
+    parts = chosen.select(F.col("needed").alias("whole"), "label", F.col("confidence").alias("of"), part.alias("needed"))
+    worse = parts.join(rules.select("needed", "label", "confidence"), ["needed", "label"]).where("confidence >= of")
+    return rules.join(worse.select(F.col("whole").alias("needed"), "label").distinct(), ["needed", "label"], "left_anti")
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> Index:
@@ -115,8 +113,9 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     items = rows.select(F.array_append(tokens(), F.concat(F.lit("label="), F.col("label"))).alias("items"))
     model = FPGrowth(minSupport=support, minConfidence=confidence, numPartitions=8).fit(items)
     rules = model.associationRules.where("consequent[0] like 'label=%' and not exists(antecedent, x -> x like 'label=%')")
-    rules = rules.where(F.size("antecedent") <= RULE_TOKENS).orderBy(F.desc("confidence"), F.desc("support"), F.array_sort("antecedent").cast("string")).limit(RULE_COUNT)
-    return Index(pruned((tuple(sorted(r.antecedent)), r.consequent[0].removeprefix("label="), r.confidence, r.support) for r in rules.collect()))
+    label = F.substring(F.get("consequent", 0), len("label=") + 1, 1 << 30)
+    rules = rules.where(F.size("antecedent") <= RULE_TOKENS).select(F.array_sort("antecedent").alias("needed"), label.alias("label"), "confidence", "support")
+    return Index([(tuple(r.needed), r.label, r.confidence, r.support) for r in pruned(rules).collect()])
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:

@@ -72,7 +72,9 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     http = F.concat(F.lit(_HTTP), size, F.lit(BREAK))
     block = F.when(again, http).otherwise(F.concat(http, F.col("payload")))
     identity = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    url = F.regexp_replace(F.regexp_replace("url", "[\\r\\n]", "%0A"), "[\\x00-\\x1F]", "%20")
+    url = F.col("url")
+    for k in (*range(0x20), 0x7F):
+        url = F.replace(url, F.lit(chr(k)), F.lit(f"%{k:02X}"))
     lines = F.concat_ws(
         "\r\n",
         F.concat(F.lit(MAGIC + "WARC-Type: "), F.when(again, "revisit").otherwise("response")),
