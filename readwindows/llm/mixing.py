@@ -17,6 +17,8 @@ counts; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +34,21 @@ BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def keyed(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, key."""
+def keyed(docs: DataFrame, labels: DataFrame, seed: str = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, key, and the columns in ``keep``."""
     quality = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"))
     sizes = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *keep,
     )
     weight = F.lit(1.0)
     for label, value in QUALITY_WEIGHTS.items():
         weight = F.when(F.col("q") == label, value).otherwise(weight)
     digest = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13)
     u = (F.conv(digest, 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return sizes.join(quality, "doc_id", "left").select("doc_id", "source", "size", (-F.ln(u) / weight).alias("key"))
+    return sizes.join(quality, "doc_id", "left").select("doc_id", "source", "size", (-F.ln(u) / weight).alias("key"), *keep)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -71,9 +74,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
-    rows = stage(keyed(docs, labels, seed).withColumn("bucket", (BUCKETS * (1 - F.exp(-F.col("key")))).cast("int")), "keys")
+def mix(docs: DataFrame, labels: DataFrame, seed: str = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, size, source_size, target and taken, the words that the mix takes of it, and the columns in ``keep``."""
+    rows = stage(keyed(docs, labels, seed, keep).withColumn("bucket", (BUCKETS * (1 - F.exp(-F.col("key")))).cast("int")), "keys")
     plan = stage(targets(rows), "targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("budget", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
@@ -89,7 +92,7 @@ def mix(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
     inside = joined.where("bucket = edge")
     earlier = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = F.greatest(F.lit(0), F.least("size", F.col("budget") - F.col("before") - earlier))
-    columns = ["doc_id", "size", "source_size", "target"]
+    columns = ["doc_id", "size", "source_size", "target", *keep]
     taken = inside.select(*columns, (base + part).cast("long").alias("taken"))
     # Without an edge the budget is a whole number of epochs, or covers the source.
     whole = F.when((F.col("bucket") < F.col("edge")) | (F.col("edge").isNull() & (F.col("budget") > 0)), F.col("size")).otherwise(0)

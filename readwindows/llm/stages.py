@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readwindows.llm import decontaminate, minhash
 from readwindows.llm import mixing as mix
 from readwindows.llm import secrets as scan
 from readwindows.llm import toxicity as tox
-from readwindows.llm.frames import read
+from readwindows.llm.frames import free_name, read
+from readwindows.session import stage
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,5 +35,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return mix.mix(docs, read(spark, sf_dir, "labels"))
+    """All documents with what the mix takes of each: size, source_size, target and taken, which may be 0.
+
+    These replace columns of the same name. Rows are numbered and written first, so that each
+    one gets its own back, whatever its id.
+    """
+    row = free_name(docs, "row")
+    marked = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    mixed = mix.mix(marked, read(spark, sf_dir, "labels"), keep=[row]).drop("doc_id")
+    added = [c for c in mixed.columns if c != row]
+    return marked.drop(*added).join(mixed, row).drop(row)

@@ -31,10 +31,22 @@ def test_stage_on_odd_and_no_rows(spark, tables, name, function):
 
 def test_mixing_stage(spark, tables):
     assert stages.mixing(spark, no_docs(spark), tables).count() == 0
+    docs = odd_docs(spark)
+    out = stages.mixing(spark, docs, tables)
+    assert set(out.columns) == {*docs.columns, "size", "source_size", "target", "taken"}
+    texts = lambda df: sorted(map(repr, df.select("doc_id", "text", "lang", "n_chars").collect()))
+    assert texts(out) == texts(docs)
+    assert all(0 <= r.taken <= 2 * r.size and r.size == len((r.text or "").split()) for r in out.collect())
+
+
+def test_all_stages_on_odd_rows(spark, tables):
+    rows = corpus_pipeline.run(spark, tables).collect()
+    known = {repr((r.doc_id, r.text)) for r in odd_docs(spark).collect()}
+    assert 0 < len(rows) <= odd_docs(spark).count() and {repr((r.doc_id, r.text)) for r in rows} <= known
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     ids = [r.doc_id for r in rows]
-    assert len(ids) == len(set(ids)) > 100
+    assert len(ids) == len(set(ids)) > 100 and all(r.taken <= 2 * r.size for r in rows)
