@@ -29,7 +29,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage: the documents that the mix takes, and how many words of each."""
+    """All documents that the stages keep, their secrets masked, and how many words the mix takes of each (0 of some)."""
     docs = read(spark, sf_dir, "documents")
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name)
