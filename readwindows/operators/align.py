@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readwindows.functions import cigar
+from readwindows.functions import cigar_batch
 from readwindows.operators.reads import KEY
 
 
 def blocks(reads: DataFrame) -> DataFrame:
     """One row per gap-free block: pair index ``p``, length ``n``, positions ``q`` and ``r``.
 
-    Expanded within each row, without a shuffle.
+    Found for a whole Arrow batch at once, without a shuffle.
     """
     return reads.select(
-        *KEY, F.inline(cigar.blocks(F.col("cigar"), F.col("reference_start")))
+        *KEY, F.inline(cigar_batch.blocks(F.col("cigar"), F.col("reference_start")))
     )
 
 

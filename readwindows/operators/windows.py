@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readwindows.functions import cigar
+from readwindows.functions import cigar_batch
 from readwindows.functions.lets import let
 from readwindows.functions.sequences import slice_bases
 from readwindows.operators.reads import KEY
@@ -29,10 +29,10 @@ def slide(reads: DataFrame, size: int, step: int, sequences: bool = True) -> Dat
 
     ``window_index`` is the place on the read's grid, counting rejected windows. A window
     with an insertion inside spans more than ``size`` query bases. A narrow operation:
-    windows are found inside each read's row and no sequence is shuffled.
+    windows are found for a whole Arrow batch of CIGARs at once; sequences never leave the JVM, and nothing is shuffled.
     ``sequences=False`` leaves ``query_subseq`` out, for passes that only count.
     """
-    offsets = cigar.windows(F.col("cigar"), F.col("reference_start"), size, step)
+    placed = reads.withColumn("_offsets", cigar_batch.windows(F.col("cigar"), F.col("reference_start"), size, step))
 
     def window(w: Column, bases: Column | None = None) -> Column:
         fields = [
@@ -46,12 +46,12 @@ def slide(reads: DataFrame, size: int, step: int, sequences: bool = True) -> Dat
     if sequences:
         found = let(
             F.col("query_sequence").cast("binary"),
-            lambda bases: F.transform(offsets, lambda w: window(w, bases)),
+            lambda bases: F.transform("_offsets", lambda w: window(w, bases)),
         )
     else:
-        found = F.transform(offsets, lambda w: window(w))
+        found = F.transform("_offsets", lambda w: window(w))
     columns = [c for c in SAMPLE_COLUMNS if sequences or c != "query_subseq"]
-    return reads.select(
+    return placed.select(
         *KEY,
         F.col("reference_name").alias("chromosome"),
         "query_name",
