@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import bz2
+import gzip
+import io
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from readwindows.sources.layout import or_raise
@@ -29,36 +35,87 @@ def read_alignments(
     """All records of the files under ``path``, unmapped ones included.
 
     Subfolders are read as well; ``glob`` filters file names. A broken file raises. With
-    ``on_error='skip'`` a SAM file with a malformed record, or a BAM file that cannot be
-    decoded whole, contributes nothing (see ``rejects``). Damage that only shows while a file is
-    being read, as in Parquet and compressed text, always raises: what came before it would
-    already be part of the result. Parquet is the form for large tables.
+    ``on_error='skip'`` a SAM file with a malformed record, or a file that cannot be
+    decoded whole, contributes nothing (see ``rejects``): Parquet and compressed text are
+    decoded to their end by a first pass, a file to a task, and the scan is given the list of the sound ones. Parquet is the form for large tables.
     """
     if format not in FORMATS or on_error not in ON_ERROR:
         raise ValueError(f"unsupported format or error policy: {format}, {on_error}")
     glob = glob or f"*.{format}"
     if format == "bam":
         return _read_bam(spark, path, glob, on_error)
-    chosen = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    if chosen.format("binaryFile").load(path).select("path").isEmpty():
+    files = _files(spark, path, glob)
+    if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {glob} under {path}")
-    chosen = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    paths = _sound(files) if on_error == "skip" else [path]
+    if not paths:
+        return spark.createDataFrame([], READS)
+    chosen = spark.read.option("recursiveFileLookup", True) if on_error == "skip" else _chosen(spark, glob)
     if format == "parquet":
-        return chosen.schema(READS).parquet(path)
-    return _read_sam(chosen.text(path), on_error)
+        return chosen.schema(READS).parquet(*paths)
+    return _read_sam(chosen.text(paths), on_error)
+
+
+def _chosen(spark: SparkSession, glob: str) -> DataFrameReader:
+    return spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+
+
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return _chosen(spark, glob).format("binaryFile").load(path)
+
+
+def _decode(name: str, data: pa.Buffer) -> None:
+    """Read a Parquet or compressed file to its end; raises what is wrong with it."""
+    if name.endswith(".parquet"):
+        file = pq.ParquetFile(pa.BufferReader(data))
+        for group in range(file.num_row_groups):
+            file.read_row_group(group)
+        return
+    stream: io.BufferedIOBase = pa.BufferReader(data)
+    opened = {"gz": gzip.open, "bz2": bz2.open}[name.rsplit(".", 1)[1]](stream)
+    while opened.read(1 << 20):
+        pass
+
+
+def _probed(files: DataFrame) -> DataFrame:
+    """``(source_file, error)`` of the Parquet and compressed files that can't be decoded."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    _decode(name, content.as_buffer())
+                except Exception as error:  # whatever a damaged file makes a decoder raise
+                    found.append((name, f"{type(error).__name__}: {error}"[:500]))
+            columns = [pa.array([x[k] for x in found], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["source_file", "error"])
+
+    compressed = files.where(F.rlike("path", F.lit(r"\.(parquet|gz|bz2)$")))
+    return compressed.select("path", "content").mapInArrow(run, "source_file string, error string")
+
+
+def _sound(files: DataFrame) -> list[str]:
+    """The files that a scan may be given: a list as long as the one that the scan makes of a folder."""
+    broken = {r.source_file for r in _probed(files).select("source_file").collect()}
+    return [r.path for r in files.select("path").collect() if r.path not in broken]
 
 
 def rejects(spark: SparkSession, path: str, format: str, glob: str | None = None) -> DataFrame:
-    """``(source_file, error)``: the SAM or BAM files that ``on_error='skip'`` leaves out."""
+    """``(source_file, error)``: the files that ``on_error='skip'`` leaves out."""
+    if format not in FORMATS:
+        raise ValueError(f"unsupported format: {format}")
     glob = glob or f"*.{format}"
     if format == "bam":
         found = _scan_bam(spark, path, glob, "check")
-    elif format == "sam":
-        text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
-        lines, broken = _sam_fields(text)
-        found = lines.where(broken).withColumn("error", F.concat(F.lit("malformed record of "), F.coalesce("qname", F.lit("no name"))))
     else:
-        raise ValueError(f"no rejects for {format}")
+        files = _files(spark, path, glob)
+        found = _probed(files)
+        sound = _sound(files) if format == "sam" else []
+        if sound:
+            lines, broken = _sam_fields(spark.read.text(sound))
+            error = F.concat(F.lit("malformed record of "), F.coalesce("qname", F.lit("no name")))
+            found = found.unionByName(lines.where(broken).select("source_file", error.alias("error")))
     return found.groupBy("source_file").agg(F.min("error").alias("error"))
 
 

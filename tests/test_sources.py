@@ -1,8 +1,11 @@
+import bz2
+import gzip
 import os
 import random
 
 import pytest
 from helpers import READ_SCHEMA, read
+from pyspark.sql import functions as F
 
 from readwindows.checks import bam_files
 from readwindows.operators import dataset
@@ -116,9 +119,9 @@ def test_damaged_parquet_and_compressed_text_raise(spark, tmp_path):
         whole = part.read_bytes()
         (tmp_path / folder / f".{part.name}.crc").unlink()
         part.write_bytes(whole[: len(whole) // 2] if format == "sam" else whole[:200] + bytes(200) + whole[400:])
-        for policy in alignments.ON_ERROR:
-            with pytest.raises(Exception):
-                alignments.read_alignments(spark, str(tmp_path / folder), format, glob, policy).collect()
+        with pytest.raises(Exception):
+            alignments.read_alignments(spark, str(tmp_path / folder), format, glob).collect()
+        assert alignments.read_alignments(spark, str(tmp_path / folder), format, glob, "skip").count() == 0
 
 
 def sam_text(rows):
@@ -237,3 +240,33 @@ def test_malformed_peak_lines(spark, tmp_path):
     assert len(bed.rejects(spark, str(path), bed.BED3).collect()) == 4
     with pytest.raises(ValueError, match="policy"):
         bed.read_bed(spark, str(path), "ignore")
+
+
+@pytest.mark.parametrize("format,ending", [("parquet", "parquet"), ("sam", "sam.gz"), ("sam", "sam.bz2")])
+def test_damaged_files_leave_whole(spark, tmp_path, format, ending):
+    folder = tmp_path / "reads"
+    folder.mkdir()
+    a, b = reads(400, 1, 300), reads(300, 2, 300)
+    pack = {"gz": gzip.compress, "bz2": bz2.compress}.get(ending.rsplit(".", 1)[-1])
+    for name, rows in (("a", a), ("b", b)):
+        if format == "sam":
+            data = pack(sam_text(rows).encode())
+        else:
+            table = [(*r, "f", i) for i, r in enumerate(rows)]
+            spark.createDataFrame(table, READ_SCHEMA).coalesce(1).write.option("parquet.block.size", 20_000).parquet(str(tmp_path / name))
+            data = next((tmp_path / name).glob("part-*")).read_bytes()
+        (folder / f"{name}.{ending}").write_bytes(data)
+        # Sound rows before the damage: the tail is lost, or bytes in the middle are wrong.
+        (folder / f"cut{name}.{ending}").write_bytes(data[: len(data) * 2 // 3])
+        middle = len(data) // 2
+        (folder / f"hurt{name}.{ending}").write_bytes(data[:middle] + bytes(x ^ 0x5A for x in data[middle : middle + 200]) + data[middle + 200 :])
+    glob = f"*.{ending}"
+    compare(alignments.read_alignments(spark, str(folder), format, glob, "skip"), a + b)
+    bad = alignments.rejects(spark, str(folder), format, glob).collect()
+    assert sorted(r.source_file.rsplit("/", 1)[1].split(".")[0] for r in bad) == ["cuta", "cutb", "hurta", "hurtb"]
+    assert all(r.error for r in bad)
+    with pytest.raises(Exception):
+        alignments.read_alignments(spark, str(folder), format, glob).agg(*[F.max(c) for c in alignments.READ_COLUMNS]).collect()
+    for name in ("a", "b"):
+        (folder / f"{name}.{ending}").unlink()
+    assert alignments.read_alignments(spark, str(folder), format, glob, "skip").count() == 0
