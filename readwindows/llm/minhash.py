@@ -12,8 +12,10 @@ million. So
 Nodes under one pair are first compared with the smallest of them (a star, not all pairs).
 Links are confirmed on the full sets and joined to components. Then only pairs of nodes that
 still lie in different components are compared, signature against signature in blocks, the
-best few first and after that all the rest; none is given up. A group of copies thus costs
-about one comparison per copy, however many links it has.
+best few first and after that all the rest; none is given up. Where a block has many such pairs left, its full sets are
+sent there instead, and all that leaves it is as few links as join its components. A group of copies thus costs
+about one comparison per copy, however many links it has, and a group just below the threshold leaves no
+pairs behind, though its task compares them.
 
 Defined cases: a text with fewer words than a shingle has one shingle, the whole sequence;
 null and empty texts, and texts without words, have no shingles and no partner. Rows of
@@ -24,6 +26,7 @@ and is kept. Extra columns are ignored, or passed on by ``keep_one``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,17 @@ from pyspark.sql import functions as F
 from readwindows.llm import text as T
 from readwindows.llm.components import components
 from readwindows.llm.frames import free_name
-from readwindows.session import stage
+from readwindows.session import broadcast_up_to, stage
 
 WORDS, PERCENT = 5, 80
 COORDINATES, MATCHES = 64, 36
 #: One byte of each of these more coordinates only serves to compare two signatures.
 MORE, ALL_MATCHES = 192, 172
 BEST, BLOCK = 4, 1024
+#: Pairs per row of a block beyond which its pairs are confirmed where they meet.
+PAIRS_A_ROW = 1
+#: Rows of ids or of pairs that may be sent to all tasks (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Fixed random odd multipliers of the coordinates.
 _MULTIPLIERS = np.random.default_rng(10).integers(1, 1 << 63, COORDINATES + MORE, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -131,18 +138,27 @@ def _tokens(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "node long, token long")
 
 
-def _postings(nodes: DataFrame) -> DataFrame:
+def _postings(nodes: DataFrame, percent: int) -> DataFrame:
     """(token, node, prefix, n): the rarest shared pairs of the nodes that may have a partner.
 
-    ``prefix`` has a bit for each coordinate whose pair is among these.
+    ``prefix`` has a bit for each coordinate whose pair is among these. Nodes that have too few shared pairs leave
+    first; of the others' pairs those leave that no node of a similar size has, and again the nodes with too few.
     """
     tokens = _tokens(nodes)
     shared = tokens.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
     held = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("holders", "token")).alias("held"))
-    able = held.where(F.size("held") >= MATCHES)
-    rare = able.select("node", F.expr(f"slice(array_sort(held), 1, size(held) - {MATCHES} + 1).token").alias("rare"))
+    able = stage(held.where(F.size("held") >= MATCHES).join(nodes.select("node", "n"), "node"), "able")
+    # Sizes that are similar enough lie in one class or in two neighbouring ones; each node is in its own and the next.
+    width = log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    size = F.floor(F.ln("n") / F.lit(width))
+    each = able.select("node", F.explode("held").alias("pair"), size.alias("size"))
+    each = each.select("node", "pair", "pair.token", F.explode(F.array("size", F.col("size") + 1)).alias("size"))
+    near = each.groupBy("token", "size").agg(F.count("*").alias("m")).where("m > 1").select("token", "size")
+    useful = each.join(near, ["token", "size"]).groupBy("node").agg(F.collect_set("pair").alias("held")).where(F.size("held") >= MATCHES)
+    # The order by all holders is the same for every node, so partners find their first common pair in both prefixes.
+    rare = useful.select("node", F.expr(f"slice(array_sort(held), 1, size(held) - {MATCHES} + 1).token").alias("rare"))
     bits = F.expr("aggregate(rare, 0L, (bits, token) -> bits | shiftleft(1L, cast(shiftright(token, 32) as int)))")
-    return rare.select(F.explode("rare").alias("token"), "node", bits.alias("prefix")).join(nodes.select("node", "n"), "node")
+    return rare.select(F.explode("rare").alias("token"), "node", bits.alias("prefix")).join(able.select("node", "n"), "node")
 
 
 def _near(a: str, b: str, percent: int) -> str:
@@ -158,7 +174,8 @@ def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose signatures agree in enough coordinates."""
     sides = nodes.select("node", "signature")
-    both = pairs.join(sides.toDF("a", "s"), "a").join(sides.toDF("b", "t"), "b")
+    first = sides.toDF("a", "s").join(_small(stage(pairs.select("a").distinct(), "hubs")), "a", "left_semi")
+    both = _small(pairs).join(sides.toDF("b", "t"), "b").join(first, "a")
 
     def run(batches):
         for batch in batches:
@@ -168,6 +185,11 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A staged table of one or two ids a row, sent to all tasks if it is known to be small."""
+    return broadcast_up_to(rows, rows.count(), BROADCAST_ROWS)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(node, shingles): six bytes of every fingerprint, ascending."""
 
@@ -181,7 +203,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], sets.cast(pa.binary())], names=["node", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return texts.join(ids, "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+    return texts.join(_small(ids), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
 
 
 def _unpack(value: bytes) -> np.ndarray:
@@ -206,8 +228,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(mine) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    members = pairs.join(sets.toDF("b", "t"), "b")
-    return members.join(sets.toDF("a", "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long").distinct()
+    members = _small(pairs).join(sets.toDF("b", "t"), "b")
+    first = sets.toDF("a", "s").join(_small(stage(pairs.select("a").distinct(), "hubs")), "a", "left_semi")
+    return members.join(first, "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long").distinct()
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -231,49 +254,114 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _apart(postings: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Agreeing pairs of nodes that meet under a token but lie in different components.
+def _blocks(postings: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (token, i, j, mine, node, c, n, prefix) of the tokens whose nodes lie in different components.
 
-    Of each node's partners under a token only the ``best`` ones, if that is given.
+    Block (i, j) of a token holds the rows of its parts i and j, so that any two rows meet in one task.
     """
     now = postings.join(parts.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = now.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
     rows = now.join(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "token")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # Block (i, j) holds the rows of both, so that any two rows meet in one task.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "c", "n", "prefix")
-    rows = rows.join(nodes.select("node", "signature"), "node").select("token", "i", "j", "mine", "node", "c", "n", "prefix", "signature")
+    return rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "c", "n", "prefix")
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
+class _Block:
+    """The rows of a block, and which of them agree."""
+
+    def __init__(self, group: pa.Table, percent: int) -> None:
+        token, self.i, self.j = (group.column(k)[0].as_py() for k in ("token", "i", "j"))
+        self.mine, self.node, self.c, self.n, self.prefix = (group.column(k).to_numpy() for k in ("mine", "node", "c", "n", "prefix"))
+        self.sign, self.percent = _matrix(group.column("signature").combine_chunks()), percent
+        self.here = np.int64(1) << np.int64(token >> 32)
+        self.left, self.right = np.flatnonzero(self.mine == self.i), np.flatnonzero(self.mine == self.j)
+
+    def partners(self, x: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of another label that agree with row ``x``, and in how many coordinates."""
+        n, sign = self.n, self.sign
+        y = self.right[(self.right > x) if self.i == self.j else slice(None)]
+        y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * self.percent)]
+        if not len(y):
+            return y, y
+        same = _alike((sign[0][y], sign[1][y]), (sign[0][x], sign[1][x]))
+        y, same = y[same > 0], same[same > 0]
+        # A pair that meets under several tokens counts under the first.
+        bits = ((sign[0][y] == sign[0][x]) << np.arange(COORDINATES)).sum(axis=1) & self.prefix[y] & self.prefix[x]
+        first = (bits & -bits) == self.here
+        return y[first], same[first]
+
+
+def _apart(postings: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Agreeing pairs (a, b) of nodes that meet under a token but lie in different components.
+
+    Of each node's partners under a token only the ``best`` ones, if that is given. Otherwise a block with more
+    pairs than ``PAIRS_A_ROW`` for every row of it gives only its name (token, i, j); a and b are null there.
+    """
+    rows = _blocks(postings, parts).join(nodes.select("node", "signature"), "node")
+    rows = rows.select("token", "i", "j", "mine", "node", "c", "n", "prefix", "signature")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
 
     def run(batches):
         for group in _by_key(batches):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            mine, node, c, n, prefix = (group.column(k).to_numpy() for k in ("mine", "node", "c", "n", "prefix"))
-            sign = _matrix(group.column("signature").combine_chunks())
-            here = np.int64(1) << np.int64(group.column("token")[0].as_py() >> 32)
-            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            out_a, out_b = [], []
-            for x in left:
-                y = right[(right > x) if i == j else slice(None)]
-                y = y[(c[y] != c[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
-                if not len(y):
-                    continue
-                same = _alike((sign[0][y], sign[1][y]), (sign[0][x], sign[1][x]))
-                y, same = y[same > 0], same[same > 0]
-                # A pair that meets under several tokens counts under the first.
-                bits = ((sign[0][y] == sign[0][x]) << np.arange(COORDINATES)).sum(axis=1) & prefix[y] & prefix[x]
-                first = (bits & -bits) == here
-                y, same = y[first], same[first]
+            block = _Block(group, percent)
+            out_a, out_b, found, most = [], [], 0, PAIRS_A_ROW * len(group)
+            for x in block.left:
+                y, same = block.partners(x, block.c)
                 if best is not None and len(y) > best:
-                    y = y[np.lexsort((node[y], -same))[:best]]
-                out_a.append(np.full(len(y), node[x]))
-                out_b.append(node[y])
-            if out_a:
+                    y = y[np.lexsort((block.node[y], -same))[:best]]
+                out_a.append(np.full(len(y), block.node[x]))
+                out_b.append(block.node[y])
+                found += len(y)
+                if best is None and found > most:
+                    break
+            if best is None and found > most:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + [group.column(k).combine_chunks()[:1].cast(out.field(k).type) for k in ("token", "i", "j")], schema=out)
+            elif found:
                 a, b = np.concatenate(out_a), np.concatenate(out_b)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(found, f.type) for f in list(out)[2:])], schema=out)
+
+    return _by_block(rows).mapInArrow(run, "a long, b long, token long, i int, j int")
+
+
+def _forest(names: DataFrame, postings: DataFrame, nodes: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components within each named block, as few as do.
 
-    parts_wanted = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts_wanted, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    The agreeing pairs of a block are confirmed on full sets where they meet, so none of them leaves the task.
+    """
+    rows = _blocks(postings, parts).join(_small(names), ["token", "i", "j"], "left_semi")
+    rows = rows.join(nodes.select("node", "signature"), "node").join(sets, "node")
+    rows = rows.select("token", "i", "j", "mine", "node", "c", "n", "prefix", "signature", "shingles")
+
+    def run(batches):
+        for group in _by_key(batches):
+            block = _Block(group, percent)
+            held = group.column("shingles")
+            label, out_a, out_b = block.c.copy(), [], []
+            for x in block.left:
+                y, _ = block.partners(x, label)
+                if not len(y):
+                    continue
+                mine = _unpack(held[int(x)].as_py())
+                others = [_unpack(held[int(k)].as_py()) for k in y]
+                flat = np.concatenate(others)
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                common = np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+                sizes = np.array([len(o) for o in others])
+                for k in y[100 * common >= percent * (len(mine) + sizes - common)]:
+                    if label[k] != label[x]:
+                        out_a.append(min(block.node[x], block.node[k]))
+                        out_b.append(max(block.node[x], block.node[k]))
+                        label[label == label[k]] = label[x]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return _by_block(rows).mapInArrow(run, "a long, b long").distinct()
 
 
 def membership(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -284,14 +372,21 @@ def membership(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     nodes = stage(sets.select(*name, F.col("first.doc_id").alias("node"), F.col("first.signature").alias("signature")), "nodes")
     # Two different sets can only be similar enough if one more shingle is a small enough change.
     least = percent / (100 - percent) if percent < 100 else float("inf")
-    postings = stage(_postings(nodes.where(F.col("n") >= least)), "postings")
-    full = stage(_sets(docs, postings.select("node").distinct(), words), "sets")
-    tested = stage(_agreeing(_star_pairs(postings, percent), nodes), "pairs")
+    postings = stage(_postings(nodes.where(F.col("n") >= least), percent), "postings")
+    able = stage(postings.select("node").distinct(), "able")
+    signed = stage(nodes.join(_small(able), "node", "left_semi"), "signatures")
+    full = stage(_sets(docs, able, words), "sets")
+    tested = stage(_agreeing(stage(_star_pairs(postings, percent), "stars"), signed), "pairs")
     links = stage(_confirmed(tested, full, percent), "links")
     parts = stage(components(links), "components")
     for best in (BEST, None):
-        pairs = stage(_apart(postings, nodes, parts, percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stage(_confirmed(pairs, full, percent), "links")
+        apart = stage(_apart(postings, signed, parts, percent, best), "apart")
+        pairs = stage(apart.where("b is not null").select("a", "b").distinct().join(_small(tested), ["a", "b"], "left_anti"), "pairs")
+        found = _confirmed(pairs, full, percent)
+        names = apart.where("b is null").select("token", "i", "j")
+        if best is None and names.limit(1).count():
+            found = found.unionByName(_forest(names, postings, signed, full, parts, percent))
+        found = stage(found, "links")
         if found.limit(1).count():
             links = links.unionByName(found)
             parts = stage(components(links), "components")

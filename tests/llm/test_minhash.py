@@ -1,7 +1,11 @@
+import random
 import re
 
+import pytest
+
 from readwindows.llm import minhash
 from readwindows.llm.components import components
+from readwindows.session import stage
 
 from .cases import DOCS, no_docs, odd_docs, odd_rows, prose
 
@@ -54,6 +58,39 @@ def test_equals_brute_force(spark):
         assert sorted(map(tuple, minhash.membership(docs, n).collect()), key=str) == brute(rows, n)
 
 
+def below_threshold_rows(members: int) -> list[tuple]:
+    """A large group of texts, nearly all pairs of which are a little less alike than the threshold."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(members):
+        text = list(base)
+        for place in rng.sample(range(0, 100, 2), 4):
+            text[place] = f"x{k}y{place}"
+        rows.append((5000 + k, " ".join(text), "en", "a", 0))
+    return rows
+
+
+@pytest.mark.parametrize("pairs_a_row", [0, 1])
+def test_a_large_group_below_the_threshold(spark, monkeypatch, pairs_a_row):
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    monkeypatch.setattr(minhash, "PAIRS_A_ROW", pairs_a_row)
+    apart, emitted = minhash._apart, []
+
+    def counted(postings, nodes, parts, percent, best):
+        out = stage(apart(postings, nodes, parts, percent, best), "counted")
+        emitted.append((best, out.where("b is not null").count(), out.where("token is not null").count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_apart", counted)
+    rows = below_threshold_rows(300) + chain_rows()
+    assert sorted(map(tuple, minhash.membership(spark.createDataFrame(rows, DOCS), 2).collect()), key=str) == brute(rows, 2)
+    (_, _, none), (_, pairs, blocks) = emitted
+    # 300 * 299 / 2 pairs agree in most coordinates; a block gives one of them for every row, or its name.
+    assert none == 0 and pairs < 300 * 5 * max(pairs_a_row, 1)
+    assert pairs_a_row or (pairs == 0 and blocks > 0)
+
+
 def test_keeps_one_of_each_component_with_all_columns(spark):
     docs = odd_docs(spark)
     kept = minhash.keep_one(docs)
