@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readwindows.functions import scores
+from readwindows.session import stage
 
 MAX_RANGES = 10_000
 
@@ -65,7 +66,7 @@ def f1(df: DataFrame) -> DataFrame:
 
 
 def _score_ranges(df: DataFrame) -> list[float]:
-    """Cut points that divide the rows about evenly (an action with a bounded result)."""
+    """Cut points that divide the distinct scores about evenly (an action with a bounded result)."""
     parts = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = [i / parts for i in range(1, parts)] or [0.5]
     found = df.agg(F.percentile_approx("score", at, max(1_000, 4 * parts))).first()[0] or []
@@ -75,17 +76,19 @@ def _score_ranges(df: DataFrame) -> list[float]:
 def cumulative(df: DataFrame) -> DataFrame:
     """Per distinct score: ``pos`` and ``neg`` with it, and how many have it or a higher one.
 
-    Columns ``score, pos, neg, tp, fp, positives, negatives``.
+    Columns ``score, pos, neg, tp, fp, positives, negatives``. ``df`` is read once, into a staged table of
+    its distinct scores; all else comes from that table.
     """
+    counts = df.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    counts = stage(counts, "scores")
     ranges = Bucketizer(
-        splits=_score_ranges(df), inputCol="score", outputCol="_range", handleInvalid="error"
-    ).transform(df.select("label", "score"))
-    pos, neg = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+        splits=_score_ranges(counts), inputCol="score", outputCol="_range", handleInvalid="error"
+    ).transform(counts)
     above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     totals = (  # one row per range
         ranges.groupBy("_range")
-        .agg(pos.alias("_pos"), neg.alias("_neg"))
+        .agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
         .select(
             "_range",
             F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_tp"),
@@ -96,8 +99,7 @@ def cumulative(df: DataFrame) -> DataFrame:
     )
     inside = Window.partitionBy("_range").orderBy(F.desc("score"))
     return (
-        ranges.groupBy("_range", "score")
-        .agg(pos.alias("pos"), neg.alias("neg"))
+        ranges
         .withColumn("tp", F.sum("pos").over(inside))
         .withColumn("fp", F.sum("neg").over(inside))
         .join(F.broadcast(totals), "_range")
@@ -166,9 +168,9 @@ def by_batch(df: DataFrame, threshold: float = scores.THRESHOLD) -> DataFrame:
 
 
 def report(df: DataFrame, threshold: float = scores.THRESHOLD) -> DataFrame:
-    """Confusion cells, accuracy, F1, average precision and ROC AUC: one row, one pass.
+    """Confusion cells, accuracy, F1, average precision and ROC AUC: one row.
 
-    All of them follow from the counts per distinct score.
+    All of them follow from the counts per distinct score, for which ``df`` is read once.
     """
     high = F.col("score") > threshold
     return (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readwindows.operators.dataset import SPLITS, part
 from readwindows.operators.windows import SAMPLE_COLUMNS, WINDOW_KEY
+from readwindows.session import stage
 
 # The columns of a window sample.
 WINDOW_SAMPLES = (
@@ -32,8 +33,12 @@ def read_samples(
 
 
 def write_class_samples(labelled: DataFrame, folder: str, format: str = "csv", keys: bool = False) -> None:
-    """The positive and the negative windows as two tables; ``keys`` adds the key columns at the end."""
+    """The positive and the negative windows as two tables; ``keys`` adds the key columns at the end.
+
+    ``labelled`` is evaluated once, into a staged table.
+    """
     columns = [*SAMPLE_COLUMNS, *WINDOW_KEY] if keys else SAMPLE_COLUMNS
+    labelled = stage(labelled.select(*columns, "labels"), "samples")
     for name, value in (("all_p_read", 1), ("all_n_read", 0)):
         chosen = labelled.where(labelled.labels == value).select(*columns)
         write_samples(chosen, f"{folder}/{name}", format)
