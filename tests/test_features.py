@@ -30,12 +30,22 @@ def test_kmers_and_ids(spark, k):
     ids = {"".join(p): i + 2 for i, p in enumerate(product("ACGT", repeat=k))}
     assert column(spark, kmers.split(F.col("s"), k)) == [pieces(s, k) for s in SEQUENCES]
     assert column(spark, kmers.text(F.col("s"), k)) == [" ".join(pieces(s, k)) for s in SEQUENCES]
-    assert column(spark, kmers.encode(F.col("s"), k)) == [[ids.get(m, 1) for m in pieces(s, k)] for s in SEQUENCES]
+    for encode in (kmers.encode, kmers.encode_by_row):
+        assert column(spark, encode(F.col("s"), k)) == [[ids.get(m, 1) for m in pieces(s, k)] for s in SEQUENCES]
     vocabulary = {r.token: r.token_id for r in features.vocabulary(spark, k).collect()}
     assert vocabulary == {"<PAD>": 0, "<UNK>": 1} | ids
     assert [r.kmer for r in features.all_kmers(spark, k).orderBy("kmer_index").collect()] == list(ids)
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 6, 7, 12, 16])
+def test_ids_of_a_batch_equal_those_by_row(spark, k):
+    rng = random.Random(k)
+    made = ["".join(rng.choices("ACGTNacgtÄ日", [9, 9, 9, 9, 1, 0.2, 0.2, 0.2, 0.2, 0.5, 0.5], k=rng.randint(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame([(s,) for s in [None, "", *made, "ACGT" * 9, None]], "s string").coalesce(1)
+    rows = df.select(kmers.encode(F.col("s"), k).alias("a"), kmers.encode_by_row(F.col("s"), k).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
 def test_large_vocabulary_ids_do_not_overflow(spark):
     k = 16
     row = spark.createDataFrame([("T" * k,)], "s string").select(kmers.encode(F.col("s"), k).alias("v")).first()
