@@ -123,9 +123,10 @@ def match_negatives(
     negatives = keyed.where("labels = 0")
     ranks = sizes.where("_positive > 0 and _negative > 0").select(*groups, F.lit("last").alias("name"), F.least("_positive", "_negative").alias("k"))
     last = digests_at(negatives, groups, ranks, _histogram(negatives, groups))
-    tied = last.where("tied").limit(1).count() > 0
+    found, tied = last.agg(F.count("*"), F.coalesce(F.max("tied"), F.lit(False))).first()
     if groups:
-        known = labelled.withColumn("_h", digest(seed, keys)).join(_if_small(last.drop("name", "tied")), [*groups], "left")
+        last = broadcast_up_to(last.drop("name", "tied"), found, BROADCAST_GROUPS)
+        known = labelled.withColumn("_h", digest(seed, keys)).join(last, [*groups], "left")
     else:
         only = last.first()
         known = labelled.withColumn("_h", digest(seed, keys)).withColumn("digest", F.lit(only.digest if only else None).cast("string"))
@@ -154,13 +155,14 @@ def cut_at(df: DataFrame, keys: Sequence[str], seed: int | str, groups: Sequence
     listed = F.array(*[F.struct(F.lit(n).alias("name"), rank.cast("bigint").alias("k")) for n, rank in shares.items()])
     ranks = totals.select(*groups, F.inline(listed)).where("k > 0")
     found = digests_at(keyed, groups, ranks, buckets)
-    if found.where("tied").limit(1).count():
+    many, tied = found.agg(F.count("*"), F.coalesce(F.max("tied"), F.lit(False))).first()
+    if tied:
         place = hash_rank(df, keys, seed, groups, name="_rank", total="_total")
         chosen = F.coalesce(*[F.when(F.col("_rank") <= rank, n) for n, rank in shares.items()], F.lit(rest))
         return place.withColumn(name, chosen).select(*df.columns, name)
     last = found.groupBy(*groups).pivot("name", list(shares)).agg(F.first("digest"))
     last = stage(last.toDF(*groups, *[f"_last_{n}" for n in shares]), "thresholds")
-    known = df.withColumn("_h", digest(seed, keys)).join(_if_small(last), [*groups], "left")
+    known = df.withColumn("_h", digest(seed, keys)).join(broadcast_up_to(last, many, BROADCAST_GROUPS), [*groups], "left")
     chosen = F.coalesce(*[F.when(F.col("_h") <= F.col(f"_last_{n}"), n) for n in shares], F.lit(rest))
     return known.withColumn(name, chosen).select(*df.columns, name)
 
