@@ -59,12 +59,12 @@ def _labelled(spark: SparkSession, sf_dir: str, mode: str = "max") -> DataFrame:
 
 
 def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.dedup(_labelled(spark, sf_dir))
+    return dataset.dedup(stage(_labelled(spark, sf_dir), "labelled"))
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
     """Not strict: on the larger tables peaks cover most of the contig and positives prevail."""
-    return prepare(_labelled(spark, sf_dir), PARAMS, strict=False)
+    return prepare(stage(_labelled(spark, sf_dir), "labelled"), PARAMS, strict=False)
 
 
 def _with_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def s7_x1_prepare_from_csv(spark, sf_dir):
     path = scratch_path(spark, "handoff")
     samples.write_class_samples(_labelled(spark, sf_dir), path, "csv", keys=True)
     both = [samples.read_samples(spark, f"{path}/{n}", samples.KEYED_SAMPLES, "csv") for n in ("all_p_read", "all_n_read")]
-    labelled = dataset.combine(dataset.label(both[0], 1), dataset.label(both[1], 0))
+    labelled = stage(dataset.combine(dataset.label(both[0], 1), dataset.label(both[1], 0)), "labelled")
     return prepare(labelled, PARAMS, strict=False).splits.select("query_subseq", "labels", "split")
 
 
@@ -413,7 +413,7 @@ def r1_u1_make_windows(spark, sf_dir):
 
 @query
 def r2_balanced_sample(spark, sf_dir):
-    return dataset.balance(_unique(spark, sf_dir), PARAMS.seed, strict=False)
+    return dataset.balance(stage(_unique(spark, sf_dir), "unique"), PARAMS.seed, strict=False)
 
 
 @query
@@ -451,7 +451,7 @@ def x1_unique_windows(spark, sf_dir):
 @query
 def x3_leakage(spark, sf_dir):
     """Splits of the plain windows, where copies of a sequence do leak."""
-    return dataset.leakage(dataset.split(_labelled(spark, sf_dir), seed=PARAMS.seed))
+    return dataset.leakage(dataset.split(stage(_labelled(spark, sf_dir), "labelled"), seed=PARAMS.seed))
 
 
 # Scalar functions.
@@ -557,7 +557,7 @@ def _language_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = fixtures.reads(spark, sf_dir).where("query_sequence IS NOT NULL")
     found = windows.slide(reads, 400, 400)
     by_contig = (F.col("chromosome") == PARAMS.contig).cast("int")
-    return stage(dataset.split(found.withColumn("labels", by_contig), seed=PARAMS.seed))
+    return stage(dataset.split(stage(found.withColumn("labels", by_contig), "labelled"), seed=PARAMS.seed))
 
 
 K_MODEL = 4
