@@ -114,7 +114,7 @@ def s4_parquet_scan(spark, sf_dir):
 def s4_bam_scan(spark, sf_dir):
     path = scratch_path(spark, "bam")
     bam_files.write_part_files(fixtures.reads(spark, sf_dir), path)
-    return alignments.read_alignments(spark, path, "bam").drop("source_file", "read_ordinal")
+    return bam_files.joined(alignments.read_alignments(spark, path, "bam")).drop("source_file", "read_ordinal")
 
 
 @query

@@ -270,3 +270,19 @@ def test_damaged_files_leave_whole(spark, tmp_path, format, ending):
     for name in ("a", "b"):
         (folder / f"{name}.{ending}").unlink()
     assert alignments.read_alignments(spark, str(folder), format, glob, "skip").count() == 0
+
+
+def test_positions_beyond_the_range_of_bam(spark, tmp_path):
+    starts = [0, (1 << 30) - 1, 1 << 30, 3_000_000_000, 20_000_000_000]
+    rows = [read(i, "4M", "ACGT" if i % 2 else "ACGTN", start, f"chr{1 + i % 3}") for i, start in enumerate(starts)]
+    df = spark.createDataFrame(rows, READ_SCHEMA).repartition(3)
+    bam_files.write_part_files(df, str(tmp_path))
+    found = bam_files.joined(alignments.read_alignments(spark, str(tmp_path), "bam"))
+    columns = ["query_name", "reference_name", "reference_start", "query_sequence"]
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, df.select(*columns).collect()))
+
+
+def test_bam_files_of_partitions_that_begin_alike(spark, tmp_path):
+    df = spark.createDataFrame([read(1, "4M", "ACGT")] * 8, READ_SCHEMA).repartition(4)
+    bam_files.write_part_files(df, str(tmp_path))
+    assert alignments.read_alignments(spark, str(tmp_path), "bam").count() == 8
