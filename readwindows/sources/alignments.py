@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -31,6 +32,7 @@ def read_alignments(
     format: str = "parquet",
     glob: str | None = None,
     on_error: str = "fail",
+    unit: str | None = None,
 ) -> DataFrame:
     """All records of the files under ``path``, unmapped ones included.
 
@@ -38,22 +40,24 @@ def read_alignments(
     ``on_error='skip'`` a SAM file with a malformed record, or a file that cannot be
     decoded whole, contributes nothing (see ``rejects``): Parquet and compressed text are
     decoded to their end by a first pass, a file to a task, and the scan is given the list of the sound ones. Parquet is the form for large tables.
+    ``unit``, a regular expression, names files that belong together, such as the parts of one folder: paths
+    with the same match are skipped together; a path without a match stands for itself.
     """
     if format not in FORMATS or on_error not in ON_ERROR:
         raise ValueError(f"unsupported format or error policy: {format}, {on_error}")
     glob = glob or f"*.{format}"
     if format == "bam":
-        return _read_bam(spark, path, glob, on_error)
+        return _read_bam(spark, path, glob, on_error, unit)
     files = _files(spark, path, glob)
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {glob} under {path}")
-    paths = _sound(files) if on_error == "skip" else [path]
+    paths = _sound(files, unit) if on_error == "skip" else [path]
     if not paths:
         return spark.createDataFrame([], READS)
     chosen = spark.read.option("recursiveFileLookup", True) if on_error == "skip" else _chosen(spark, glob)
     if format == "parquet":
         return chosen.schema(READS).parquet(*paths)
-    return _read_sam(chosen.text(paths), on_error)
+    return _read_sam(chosen.text(paths), on_error, unit)
 
 
 def _chosen(spark: SparkSession, glob: str) -> DataFrameReader:
@@ -95,10 +99,23 @@ def _probed(files: DataFrame) -> DataFrame:
     return compressed.select("path", "content").mapInArrow(run, "source_file string, error string")
 
 
-def _sound(files: DataFrame) -> list[str]:
+def _sound(files: DataFrame, unit: str | None = None) -> list[str]:
     """The files that a scan may be given: a list as long as the one that the scan makes of a folder."""
-    broken = {r.source_file for r in _probed(files).select("source_file").collect()}
-    return [r.path for r in files.select("path").collect() if r.path not in broken]
+
+    def whole(path: str) -> str:
+        found = re.search(unit, path) if unit else None
+        return found[0] if found and found[0] else path
+
+    broken = {whole(r.source_file) for r in _probed(files).select("source_file").collect()}
+    return [r.path for r in files.select("path").collect() if whole(r.path) not in broken]
+
+
+def _without(rows: DataFrame, bad: DataFrame, unit: str | None) -> DataFrame:
+    """The rows of files that share no unit with a file of ``bad``."""
+    path = F.col("source_file")
+    whole = F.coalesce(F.nullif(F.regexp_extract(path, unit, 0), F.lit("")), path) if unit else path
+    broken = bad.select(whole.alias("_unit")).distinct()
+    return rows.withColumn("_unit", whole).join(broken, "_unit", "left_anti").select(*rows.columns)
 
 
 def rejects(spark: SparkSession, path: str, format: str, glob: str | None = None) -> DataFrame:
@@ -119,7 +136,7 @@ def rejects(spark: SparkSession, path: str, format: str, glob: str | None = None
     return found.groupBy("source_file").agg(F.min("error").alias("error"))
 
 
-def _read_sam(text: DataFrame, on_error: str) -> DataFrame:
+def _read_sam(text: DataFrame, on_error: str, unit: str | None = None) -> DataFrame:
     """SAM text as column expressions, in as many splits as the files have.
 
     ``read_ordinal`` is the split's byte offset plus the row's place among the rows its
@@ -129,8 +146,7 @@ def _read_sam(text: DataFrame, on_error: str) -> DataFrame:
     lines, broken = _sam_fields(text)
     numbers = _sam_numbers()
     if on_error == "skip":
-        bad = lines.where(broken).select("source_file").distinct()
-        lines = lines.join(bad, "source_file", "left_anti")
+        lines = _without(lines, lines.where(broken), unit)
     else:
         # A filter, so that no choice of columns prunes the check away.
         lines = lines.where(or_raise(broken, F.concat(F.lit("malformed record in "), "source_file")))
@@ -183,13 +199,12 @@ def _scan_bam(spark: SparkSession, path: str, glob: str, mode: str) -> DataFrame
     return spark.read.format("bam").option("glob", glob).option("mode", mode).load(path)
 
 
-def _read_bam(spark: SparkSession, path: str, glob: str, on_error: str) -> DataFrame:
+def _read_bam(spark: SparkSession, path: str, glob: str, on_error: str, unit: str | None = None) -> DataFrame:
     records = _scan_bam(spark, path, glob, "fail" if on_error == "fail" else "skip").drop("error")
     if on_error == "fail":
         return records
     # The check decodes every record, as the scan does; the scan is quiet on a broken file, which leaves whole.
-    bad = _scan_bam(spark, path, glob, "check").select("source_file").distinct()
-    return records.join(bad, "source_file", "left_anti").select(*READ_COLUMNS)
+    return _without(records, _scan_bam(spark, path, glob, "check"), unit).select(*READ_COLUMNS)
 
 
 def write_alignments(reads: DataFrame, path: str, mode: str = "errorifexists") -> None:

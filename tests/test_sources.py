@@ -286,3 +286,15 @@ def test_bam_files_of_partitions_that_begin_alike(spark, tmp_path):
     df = spark.createDataFrame([read(1, "4M", "ACGT")] * 8, READ_SCHEMA).repartition(4)
     bam_files.write_part_files(df, str(tmp_path))
     assert alignments.read_alignments(spark, str(tmp_path), "bam").count() == 8
+
+
+def test_parts_of_one_unit_are_skipped_together(spark, tmp_path):
+    def line(n):
+        return f"r{n}\t0\tchr1\t1\t60\t4M\t*\t0\t0\tACGT\t*\n"
+
+    for folder, name, text in (("file=a", "part-0", line(0)), ("file=a", "part-1", "cut\toff\n"), ("file=b", "part-0", line(1)), ("file=b", "part-1", line(2)), (".", "part-2", line(3))):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+    read_all = lambda **kw: sorted(r[0] for r in alignments.read_alignments(spark, str(tmp_path), "sam", "part-*", "skip", **kw).select("query_name").collect())
+    assert read_all() == ["r0", "r1", "r2", "r3"]
+    assert read_all(unit="file=[^/]+") == ["r1", "r2", "r3"]
