@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -16,6 +18,9 @@ PAD, PAD_ID = "<PAD>", 0
 UNKNOWN, UNKNOWN_ID = "<UNK>", 1
 FIRST_KMER_ID = 2
 
+#: Bytes of text whose ids are made at a time; a longer sequence is taken alone.
+BLOCK_BYTES = 1 << 21
+
 
 def _letters(sequence: Column) -> Column:
     """Letters as an array; indexing it does not walk over the text."""
@@ -91,13 +96,21 @@ def _packed(digits: np.ndarray, k: int) -> np.ndarray:
     return even if k % 2 == 0 else even[: max(len(digits) - k + 1, 0)] << 2 | digits[k - 1 :]
 
 
-def ids_of(column: pa.Array, k: int) -> pa.Array:
-    """k-mer ids of all sequences of a batch, letters one behind the other."""
-    kind = np.int32 if len(ALPHABET) ** k + FIRST_KMER_ID < 2**31 else np.int64
+def id_blocks(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """k-mer ids of the sequences of a batch, one behind the other, and how many each has: some rows at a time."""
     column = column.fill_null("").cast(pa.large_binary())
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    text = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    text = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK_BYTES, side="right")) - 1)
+        yield _block_ids(text[at[row] : at[end]], at[row : end + 1], k)
+        row = end
+
+
+def _block_ids(text: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    kind = np.int32 if len(ALPHABET) ** k + FIRST_KMER_ID < 2**31 else np.int64
     # A letter is a byte that doesn't continue another one.
     lead = (text & 0xC0) != 0x80
     at = at - at[0]
@@ -113,7 +126,16 @@ def ids_of(column: pa.Array, k: int) -> pa.Array:
     counts = np.maximum(sizes - (k - 1), 0)
     # The last k - 1 places of a row reach into the next one.
     inside = np.arange(places) + k <= np.repeat(at[1:], sizes)[:places]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids[inside]))
+    return ids[inside], counts
+
+
+def ids_of(column: pa.Array, k: int) -> pa.Array:
+    """k-mer ids of all sequences of a batch."""
+    kind = np.int32 if len(ALPHABET) ** k + FIRST_KMER_ID < 2**31 else np.int64
+    blocks = list(id_blocks(column, k))
+    ids = np.concatenate([np.zeros(0, kind), *(b[0] for b in blocks)])
+    counts = np.concatenate([np.zeros(1, np.int64), *(b[1] for b in blocks)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(ids))
 
 
 _KINDS = {"int": ArrayType(IntegerType()), "bigint": ArrayType(LongType())}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,22 @@ def with_kmer_ids(df: DataFrame, k: int, sequence: str = "query_subseq") -> Data
     return df.withColumn("input_ids", kmers.encode(F.col(sequence), k))
 
 
+def kmer_id_counts(df: DataFrame, k: int, sequence: str = "query_subseq") -> DataFrame:
+    """``(token_id, n)``: how often each id occurs.
+
+    A task counts the ids of a few megabytes of letters at a time, and sends one row for each id of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, _ in kmers.id_blocks(batch.column(0), k):
+                found, n = np.unique(ids, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["token_id", "n"])
+
+    counted = df.select(sequence).mapInArrow(run, "token_id bigint, n bigint")
+    return counted.groupBy("token_id").agg(F.sum("n").alias("n"))
+
+
 def to_model_columns(df: DataFrame) -> DataFrame:
     """``sequence`` and an integer ``label``."""
     return df.select(F.col("query_subseq").alias("sequence"), F.col("labels").cast("int").alias("label"))
