@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType
 
 #: 64-bit words of the letters' positions that one group of pairs may take.
 GROUP_WORDS = 1 << 20
@@ -99,6 +99,28 @@ def lcs_lengths(a: Sequence[str], b: Sequence[str], need: np.ndarray | None = No
     return out
 
 
+#: Bits of a signature that one letter more or less can change: it breaks up to two runs of three letters and makes three, or the reverse.
+BITS_PER_LETTER = 5
+
+
+def run_signatures(texts: Sequence[str]) -> np.ndarray:
+    """Which of 64 kinds of runs of three letters occur in each text, as the bits of a number."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters = (np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") >> 1 & 3).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.flatnonzero(row[2:] == row[:-2])
+    kinds = letters[inside] << 4 | letters[inside + 1] << 2 | letters[inside + 2]
+    seen = np.zeros((len(texts), 64), np.uint8)
+    seen[row[inside], kinds] = 1
+    return np.packbits(seen, axis=1, bitorder="little").view("<i8").ravel()
+
+
+@F.pandas_udf(LongType())
+def run_signature(texts: pd.Series) -> pd.Series:
+    """``run_signatures`` of a column without nulls."""
+    return pd.Series(run_signatures(texts.tolist()), dtype=np.int64)
+
+
 @F.pandas_udf(IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(lcs_lengths(a.tolist(), b.tolist()), dtype=np.int32)

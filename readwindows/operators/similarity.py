@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readwindows.functions.similarity import common_letters, similarity
+from readwindows.functions.similarity import BITS_PER_LETTER, common_letters, run_signature, similarity
 from readwindows.operators.ranking import first_rows
-from readwindows.session import broadcast_up_to
+from readwindows.session import broadcast_up_to, stage
 
 BROADCAST_SEQUENCES = 1_000
 #: Letters of the longer sequence that near pairs may have outside the common subsequence: similarity 0.96 at 50 letters.
@@ -21,27 +21,42 @@ def near_pairs(df: DataFrame, sequence: str = "query_subseq", edits: int = EDITS
 
     Two sequences are ``edits`` apart if the longer one has that many letters outside the
     longest common subsequence, so the score is 1 - edits / longer length or more. Then each has at most ``edits`` letters
-    outside it, and of 2 * ``edits`` + 1 pieces of ``a`` one stands whole in ``b``, moved
-    by ``edits`` letters at most. A pair that meets in several pieces is scored once.
+    outside it. Cut the shorter one into 2 * ``edits`` + 1 pieces: some piece ``p`` stands whole in the longer one with at most ``p``
+    such letters before it and 2 * ``edits`` - ``p`` behind it (the first piece up to which there are no more letters than its number),
+    which bounds how far it is moved. Only lengths that occur are asked for. Pairs are scored where they meet, so that
+    only near ones are shuffled again; a pair that meets in several pieces is scored in each and written once.
     Sequences shorter than the number of pieces have empty pieces, which all others of nearly their length share.
+    The distinct sequences are written once (an action), with a signature of their runs of three letters: pairs whose
+    signatures differ in more bits than their letters can change aren't scored.
     """
     parts = 2 * edits + 1
     distinct = df.select(F.col(sequence).alias("_s")).where("_s is not null").distinct()
-    moves = F.explode(F.sequence(F.lit(-edits), F.lit(edits)))
+    texts = stage(distinct.select("_s", F.length("_s").alias("_length"), run_signature("_s").alias("_runs")), "distinct")
     numbers = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
     def keyed(name: str, rows: DataFrame) -> DataFrame:
         bounds = rows.select("*", F.expr(f"_part * _size div {parts}").cast("int").alias("_from"), F.expr(f"(_part + 1) * _size div {parts}").cast("int").alias("_to"))
-        inside = bounds.where("_from + _move >= 0 and _to + _move <= length(_s)")
-        return inside.select(F.col("_s").alias(name), "_size", "_part", F.substr("_s", F.col("_from") + F.col("_move") + 1, F.col("_to") - F.col("_from")).alias("_piece"))
+        inside = bounds.where("_from + _move >= 0 and _to + _move <= _length")
+        piece = F.substr("_s", F.col("_from") + F.col("_move") + 1, F.col("_to") - F.col("_from"))
+        # Equal keys of different pieces only propose a pair more.
+        return inside.select(F.col("_s").alias(name), F.col("_runs").alias(f"{name}_runs"), F.xxhash64("_size", "_part", piece).alias("_key"))
 
-    pieces = keyed("a", distinct.select("_s", F.length("_s").alias("_size"), F.lit(0).alias("_move"), numbers.alias("_part")))
-    sizes = F.explode(F.sequence(F.greatest(F.length("_s") - edits, F.lit(0)), F.length("_s") + edits))
-    runs = distinct.select("_s", sizes.alias("_size")).select("*", numbers.alias("_part")).select("*", moves.alias("_move"))
-    pairs = pieces.join(keyed("b", runs).distinct(), ["_size", "_part", "_piece"]).where("a < b").select("a", "b").distinct()
-    longer = F.greatest(F.length("a"), F.length("b"))
-    common = common_letters(F.col("a"), F.col("b"), longer - edits)
-    return pairs.select("a", "b", common.alias("_common")).where("_common >= 0").select("a", "b", (F.col("_common") / F.nullif(longer, F.lit(0))).alias("score"))
+    shorter = texts.select("_s", "_length", "_runs", F.col("_length").alias("_size"), F.lit(0).alias("_move"), numbers.alias("_part"))
+    sizes = F.explode(F.sequence(F.greatest(F.col("_length") - edits, F.lit(0)), F.col("_length")))
+    occurring = texts.select(F.col("_length").alias("_size")).distinct()
+    runs = texts.select("*", sizes.alias("_size")).join(occurring, "_size", "left_semi").select("*", numbers.alias("_part"))
+    more, behind = F.col("_length") - F.col("_size"), F.lit(parts - 1) - F.col("_part")
+    first = F.greatest(-F.col("_part"), more - behind, more - edits)
+    last = F.least(F.col("_part"), more + behind, F.lit(edits))
+    runs = runs.select("*", first.alias("_first"), last.alias("_last")).where("_first <= _last")
+    runs = runs.select("*", F.explode(F.sequence("_first", "_last")).alias("_move"))
+    met = keyed("_x", shorter).join(keyed("_y", runs), "_key").where("length(_x) < length(_y) or length(_x) = length(_y) and _x < _y")
+    longer = F.length("_y")
+    outside = F.lit(parts - 1) - (longer - F.length("_x"))  # letters of both that the common subsequence may leave out
+    met = met.where(F.bit_count(F.col("_x_runs").bitwiseXOR(F.col("_y_runs"))) <= BITS_PER_LETTER * outside)
+    scored = met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), common_letters(F.col("_x"), F.col("_y"), longer - edits).alias("_common"))
+    near = scored.where("_common >= 0").distinct()
+    return near.select("a", "b", (F.col("_common") / F.nullif(F.greatest(F.length("a"), F.length("b")), F.lit(0))).alias("score"))
 
 
 def pairwise(

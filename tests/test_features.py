@@ -1,13 +1,15 @@
 import random
+from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import plan_of
 from pyspark.sql import functions as F
 
 from readwindows.functions import kmers
-from readwindows.functions.similarity import lcs_lengths
+from readwindows.functions.similarity import BITS_PER_LETTER, lcs_lengths, run_signatures
 from readwindows.operators import features, similarity
 
 SEQUENCES = ["", "ACG", "ACGTAC", "ACGTACGTTT", "acgtacgt", "ACGNACGTACG", "TTTTTTT", "AÇGTÄCGT"]
@@ -152,3 +154,36 @@ def test_near_pairs_equal_brute_force(spark):
                 expected[a, b] = common / longer
     found = [tuple(r) for r in similarity.near_pairs(df, edits=2).collect()]
     assert len(found) == len(expected) and {(a, b): s for a, b, s in found} == pytest.approx(expected)
+
+
+def test_ids_and_their_counts_are_made_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ACGTNé", k=rng.randint(0, 40))) for _ in range(200)] + [None, "", "ACG"]
+    whole = kmers.ids_of(pa.array(texts), 3).to_pylist()
+    monkeypatch.setattr(kmers, "BLOCK_BYTES", 64)
+    column = pa.array(["x", *texts])[1:]
+    assert kmers.ids_of(column, 3).to_pylist() == whole and kmers.ids_of(pa.array([], pa.string()), 3).to_pylist() == []
+    assert max(len(ids) for ids, _ in kmers.id_blocks(column, 3)) <= 64
+    df = spark.createDataFrame([(t,) for t in texts], "query_subseq string")
+    counted = {r.token_id: r.n for r in features.kmer_id_counts(df, 3).collect()}
+    assert counted == Counter(i for ids in whole for i in ids)
+
+
+def test_a_letter_changes_few_bits_of_a_signature():
+    rng = random.Random(3)
+    for letters in ("ACGT", "ACGTNé𝄞"):
+        for n in (0, 1, 2, 3, 50, 80):
+            text = "".join(rng.choices(letters, k=n))
+            for at in range(n + 1):
+                more = text[:at] + rng.choice(letters) + text[at:]
+                a, b = run_signatures([text, more]).tolist()
+                assert ((a ^ b) & (2**64 - 1)).bit_count() <= BITS_PER_LETTER
+
+
+def test_near_pairs_shuffle_only_pieces_and_near_pairs(spark):
+    """Pairs are scored below the exchange that makes them distinct, and a sequence has few pieces."""
+    rng = random.Random(6)
+    sequences = ["".join(rng.choices("ACGT", k=50)) for _ in range(400)] + ["".join(rng.choices("ACGT", k=52)) for _ in range(400)]
+    plan = plan_of(similarity.near_pairs(spark.createDataFrame([(s,) for s in sequences], "query_subseq string")))
+    tree = plan.split("\n\n")[0]
+    assert tree.index("HashAggregate") < tree.index("Exchange") < tree.index("ArrowEvalPython") < tree.index("Join")
