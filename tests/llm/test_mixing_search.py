@@ -103,6 +103,22 @@ def test_search_equals_brute_force(spark):
         assert all(abs(r.score - e[3]) < 1e-5 for r, e in zip(got, expected, strict=True))
 
 
+def test_documents_that_leave_the_shards_do_not_grow_with_shards(spark, monkeypatch):
+    rows = [(k, prose(k, 8 + k % 40), "en", "a", 0) for k in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    asked = docs.where("doc_id % 50 = 0")
+    whole = sorted(map(tuple, search.search(docs, asked).collect()))
+    for name, value in {"SHARD": 2000, "LEAST_ROWS": 100, "LEVEL": 4, "SAMPLE_ROWS": 50}.items():
+        monkeypatch.setattr(search, name, value)
+    terms, n, mean = search.statistics(docs)
+    queries = search.Queries(search.query_terms(asked, terms, n).toArrow())
+    made = search._candidates(docs, queries, n, mean, search.K).groupBy("query_id").count().collect()
+    assert len(made) == 24 and max(r["count"] for r in made) <= 4 * search.LEVEL * search.K < len(rows) // 4
+    assert sorted(map(tuple, search.search(docs, asked).collect())) == whole
+    expected = brute(rows, [(r[0], Counter(WORD.findall(r[1].lower()))) for r in rows if r[0] % 50 == 0], search.K)
+    assert [r[:3] for r in whole] == [e[:3] for e in sorted(expected)]
+
+
 def test_search_of_odd_and_empty_tables(spark):
     docs = odd_docs(spark)
     assert search.search(docs, docs).count() > 0
