@@ -1,6 +1,7 @@
 """Phrases whose words stand together more often than apart, from exact n-gram counts.
 
-Texts become word codes once, a row per batch of some megabytes. Words that occur ``least`` times or more in their
+Texts become word codes once, a row per batch of some megabytes. A batch's words are dealt out in lists, one for each
+shard of the dictionary, and come back as lists of ids: words that occur ``least`` times or more in their
 language get dense ids; no candidate phrase can hold another one. All pairs of such words inside a piece are
 packed into keys, permuted, and counted per batch in counting quotient filters, one for
 each range of quotients (a shard). A shard's filters are merged by one task, and keys of at least ``least`` leave it;
@@ -32,6 +33,8 @@ from readwindows.session import stage
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text in a batch, and occurrences of phrases that a shard gets on average.
 BATCH, SHARD = 4 << 20, 4_000_000
+#: Words of batches that a shard of the dictionary gets on average.
+ENTRIES = 1_000_000
 
 #: Bytes between pieces, and bytes of words.
 _BREAKS = np.zeros(256, bool)
@@ -40,7 +43,8 @@ _WORD = ~_BREAKS
 _WORD[[0x20, 0x09]] = False
 
 _WORDS = pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
-_CODED = pa.schema([("batch", pa.int64()), ("codes", pa.binary()), ("words", _WORDS)])
+_CODED = pa.schema([("batch", pa.int64()), ("codes", pa.binary()), ("words", _WORDS), ("entries", pa.int64())])
+_KNOWN = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("codes", pa.binary()), ("ks", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("k", pa.int64())])
 
 
 def _piece_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -77,25 +81,93 @@ def _coded(docs: DataFrame, batch_bytes: int) -> DataFrame:
                 words = pa.concat_arrays(words)
                 listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
                 raw = np.concatenate(codes).astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([raw], pa.binary()), listed.cast(_WORDS)], schema=_CODED)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([raw], pa.binary()), listed.cast(_WORDS), pa.array([len(words)])], schema=_CODED)
                 number += 1
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "batch long, codes binary, words array<struct<lang string, word string, n long>>")
+    return rows.mapInArrow(run, "batch long, codes binary, words array<struct<lang string, word string, n long>>, entries long")
 
 
-def _dictionary(counts: DataFrame, least: int) -> DataFrame:
-    """(lang, word, f, id): dense ids from 1 for the words of at least ``least`` occurrences."""
-    often = counts.where(F.col("f") >= least).withColumn("part", F.spark_partition_id())
-    often = stage(often.withColumn("k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "words")
-    # A row per partition of the staged table.
-    sizes = {r.part: r.n for r in often.groupBy("part").agg((F.max("k") + 1).alias("n")).collect()}
-    before, rows = 1, []
-    for part in sorted(sizes):
-        rows.append((part, before))
-        before += sizes[part]
-    offsets = often.sparkSession.createDataFrame(rows, "part int, before long")
-    return often.join(F.broadcast(offsets), "part").select("lang", "word", "f", (F.col("k") + F.col("before")).alias("id"))
+def _dealt(coded: DataFrame, shards: int) -> DataFrame:
+    """(batch, shard, codes, words): the words of each batch dealt out by their fingerprint, a row per shard."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = batch.column("words")[row].values
+                data, at = T.flat(words.field("word").cast(pa.large_binary()))
+                shard = (T.mix(T.stretch(T.prefix_hashes(data), at[:-1], at[1:])) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)])) if len(order) else np.zeros(1, np.int64)
+                codes = (order + 1).astype("<u4")
+                listed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.take(pa.array(order)))
+                raw = [codes[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_pydict({"batch": pa.array([batch.column("batch")[row].as_py()] * len(raw), pa.int64()), "shard": pa.array(shard[order][cuts[:-1]]), "codes": pa.array(raw, pa.binary()), "words": listed})
+
+    return coded.select("batch", "words").mapInArrow(run, "batch long, shard long, codes binary, words array<struct<lang string, word string, n long>>")
+
+
+def _known(coded: DataFrame, shards: int, least: int) -> DataFrame:
+    """What each shard of the dictionary knows, in rows of three kinds.
+
+    (shard, lang, word, f, k): its words of at least ``least`` occurrences, numbered from 1; (shard, batch, codes, ks):
+    which codes of a batch stand for these; (shard, lang, f): occurrences of all its words of a language.
+    """
+
+    def merged(rows: pa.Table) -> pa.Table:
+        shard = rows.column("shard")[:1]
+        lists = rows.column("words").combine_chunks()
+        words = lists.flatten()
+        lang, word, n = (words.field(c) for c in ("lang", "word", "n"))
+        # No word holds a space.
+        names = pc.binary_join_element_wise(word, lang, " ").dictionary_encode()
+        which, f = names.indices.to_numpy(), np.zeros(len(names.dictionary), np.int64)
+        np.add.at(f, which, n.to_numpy())
+        first = np.zeros(len(f), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        often = np.flatnonzero(f >= least)
+        k = np.zeros(len(f), np.int64)
+        k[often] = np.arange(1, len(often) + 1)
+        langs = lang.dictionary_encode()
+        of_lang = np.zeros(len(langs.dictionary), np.int64)
+        np.add.at(of_lang, langs.indices.to_numpy(), n.to_numpy())
+        mine, at = k[which], np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        batches, codes, ks = [], [], []
+        for row, (number, raw) in enumerate(zip(rows.column("batch").to_pylist(), rows.column("codes"), strict=True)):
+            here = mine[at[row] : at[row + 1]]
+            if here.any():
+                batches.append(number)
+                codes.append(np.frombuffer(raw.as_buffer(), "<u4")[here > 0].tobytes())
+                ks.append(here[here > 0].astype("<u4").tobytes())
+        at = pa.array(first[often])
+        parts = [
+            {"lang": lang.take(at), "word": word.take(at), "f": pa.array(f[often]), "k": pa.array(k[often])},
+            {"batch": pa.array(batches, pa.int64()), "codes": pa.array(codes, pa.binary()), "ks": pa.array(ks, pa.binary())},
+            {"lang": langs.dictionary, "f": pa.array(of_lang)},
+        ]
+        tables = []
+        for part in parts:
+            size = len(next(iter(part.values())))
+            part["shard"] = pa.array(np.full(size, shard[0].as_py()))
+            tables.append(pa.table([part[c.name].cast(c.type) if c.name in part else pa.nulls(size, c.type) for c in _KNOWN], schema=_KNOWN))
+        return pa.concat_tables(tables)
+
+    parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(coded, shards).repartition(max(parts, shards), "shard")
+    return dealt.groupBy("shard").applyInArrow(merged, "shard long, batch long, codes binary, ks binary, lang string, word string, f long, k long")
+
+
+def _dictionary(known: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(lang, word, f, id): dense ids from 1 for the frequent words; and how many lie in the shards before each shard."""
+    often = known.where("word is not null")
+    # A row per shard.
+    sizes = {r.shard: r.n for r in often.groupBy("shard").agg(F.max("k").alias("n")).collect()}
+    before, total = {}, 0
+    for shard in sorted(sizes):
+        before[shard] = total
+        total += sizes[shard]
+    offsets = known.sparkSession.createDataFrame([*before.items()], "shard long, before long")
+    return often.join(F.broadcast(offsets), "shard").select("lang", "word", "f", (F.col("k") + F.col("before")).alias("id")), before
 
 
 def _limbs(ids: np.ndarray, at: np.ndarray, length: int, longest: int, bits: int, width: quotient.Width) -> tuple[np.ndarray, np.ndarray]:
@@ -127,18 +199,20 @@ def _unpacked(high: np.ndarray, low: np.ndarray, longest: int, bits: int, width:
     return out
 
 
-def _with_ids(coded: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(batch, ids): ids of the frequent words in place of the codes, 0 for others; ``pairs`` has the codes' ids of each batch."""
+def _with_ids(coded: DataFrame, known: DataFrame, before: dict[int, int]) -> DataFrame:
+    """(batch, ids): ids of the frequent words in place of the codes, 0 for others."""
+    held = known.where("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("shard", "codes", "ks")).alias("held"))
 
     def run(rows):
         for batch in rows:
-            for number, raw, known in zip(batch.column("batch"), batch.column("codes"), batch.column("pairs"), strict=True):
+            for number, raw, held in zip(batch.column("batch"), batch.column("codes"), batch.column("held"), strict=True):
                 codes = np.frombuffer(raw.as_buffer(), "<u4")
                 table = np.zeros(int(codes.max(initial=0)) + 1, "<u4")
-                table[known.values.field("code").to_numpy()] = known.values.field("id").to_numpy()
+                for shard, mine, ks in zip(*(held.values.field(c) for c in ("shard", "codes", "ks")), strict=True):
+                    table[np.frombuffer(mine.as_buffer(), "<u4")] = np.frombuffer(ks.as_buffer(), "<u4") + np.uint32(before[shard.as_py()])
                 yield pa.RecordBatch.from_pydict({"batch": pa.array([number.as_py()], pa.int64()), "ids": pa.array([table[codes].tobytes()], pa.binary())})
 
-    return coded.join(pairs, "batch").mapInArrow(run, "batch long, ids binary")
+    return coded.select("batch", "codes").join(held, "batch").mapInArrow(run, "batch long, ids binary")
 
 
 def _prefix(occurrences: int, width: quotient.Width) -> int:
@@ -234,13 +308,13 @@ def _phrases(batches: DataFrame, occurrences: int, words: int, least: int, longe
 def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, batch_bytes: int = BATCH) -> DataFrame:
     """(lang, words, f, n): words and phrases of up to ``longest`` words with ``least`` occurrences, and all words of the language."""
     coded = stage(_coded(docs, batch_bytes), "coded")
-    listed = coded.select("batch", F.posexplode("words")).select("batch", (F.col("pos") + 1).alias("code"), "col.lang", "col.word", "col.n")
-    totals = stage(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")), "totals")
-    sizes = stage(totals.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
-    known = stage(_dictionary(totals, least), "dictionary")
+    entries = coded.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+    shared = stage(_known(coded, ceil(entries / ENTRIES) or 1, least), "shared")
+    sizes = stage(shared.where("word is null and batch is null").groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
+    often, before = _dictionary(shared)
+    known = stage(often, "dictionary")
     words, occurrences = known.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
-    pairs = listed.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("batch").agg(F.collect_list(F.struct("code", "id")).alias("pairs"))
-    batches = stage(_with_ids(coded.select("batch", "codes"), pairs), "ids")
+    batches = stage(_with_ids(coded, shared, before), "ids")
     found = stage(_phrases(batches, occurrences, words, least, longest).withColumn("k", F.monotonically_increasing_id()), "phrases")
     named = found.select("k", F.posexplode("ids").alias("pos", "id")).join(known.select("id", "lang", "word"), "id")
     named = named.groupBy("k").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("at"))

@@ -85,3 +85,21 @@ def test_odd_rows(spark):
 def test_no_phrases(spark):
     assert found(cases.no_docs(spark)) == set()
     assert found(spark.createDataFrame([("en", "a b c"), (None, None)], "lang string, text string")) == set()
+
+
+def test_words_of_batches_travel_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "ENTRIES", 400)
+    rows = [(("en", None)[k % 2], cases.prose(k, 60) + " so it goes") for k in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    coded = collocations._coded(docs, 500).cache()
+    batches, entries = coded.count(), coded.agg({"entries": "sum"}).first()[0]
+    shards = -(-entries // collocations.ENTRIES)
+    shared = collocations._known(coded, shards, 2).cache()
+    sent = shared.where("batch is not null").count()
+    assert shards > 2 and batches <= sent <= batches * shards < entries / 4
+    often, before = collocations._dictionary(shared)
+    often = often.collect()
+    counts = collections.Counter((lang or "und", w) for lang, text in rows for w in re.findall(r"[^ \t.,;:!?\n-\r]+", text.translate(A_Z)))
+    assert {(r.lang, r.word): r.f for r in often} == {k: f for k, f in counts.items() if f >= 2}
+    assert sorted(r.id for r in often) == list(range(1, len(often) + 1)) and len(before) <= shards
+    assert found(docs, least=2, batch_bytes=500) == plain(rows, 2)
