@@ -61,6 +61,8 @@ for _sign in range(0xC0, 0x250):  # accented Latin letters count as their base l
 _SYMBOLS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 for _sign, _letter in LOOKALIKES.items():
     _SYMBOLS[ord(_sign)] = ord(_letter) - ord("a") + 1
+#: Strings whose subsequences are listed at a time: some 15 kB each.
+WORDS = 512
 _GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 
 
@@ -104,9 +106,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _dense(words: list[str]) -> np.ndarray:
-    row, number, value = features(words)
     out = np.zeros((len(words), 1 << 15), np.float32)
-    out[row, number] = value
+    for lo in range(0, len(words), WORDS):
+        row, number, value = features(words[lo : lo + WORDS])
+        out[lo + row, number] = value
     return out
 
 
@@ -122,8 +125,8 @@ class Machine:
     def margins(self, words: list[str]) -> np.ndarray:
         """Decision values; a string without any toxic subsequence gets the offset."""
         out = np.full(len(words), self.offset)
-        for lo in range(0, len(words), 2048):
-            part = words[lo : lo + 2048]
+        for lo in range(0, len(words), WORDS):
+            part = words[lo : lo + WORDS]
             raw = np.zeros(len(part))
             for w, number in _terms(_codes(part)):
                 raw += w * self.weights[number].sum(axis=1)

@@ -107,3 +107,13 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(10, 40)] + [(50, k) for k in range(51, 60)] + [(7, 7), (61, 60), (60, 61)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{k: 10 for k in range(10, 41)}, **{k: 50 for k in range(50, 60)}, 60: 60, 61: 60}
+
+
+def test_stars_are_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr("readwindows.llm.components.stage", lambda df, name: written.append(name) or stage(df, name))
+    stars = spark.createDataFrame([(k, k % 7) for k in range(7, 200)], "a long, b long")
+    assert {tuple(r) for r in components(stars).collect()} == {(k, k % 7) for k in range(200)}
+    assert len(written) == 1
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(60, 50), (60, 51), (51, 49)], "a long, b long")
+    assert {tuple(r) for r in components(path).collect()} == {(k, 0) for k in range(41)} | {(k, 49) for k in (49, 50, 51, 60)}
