@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from readwindows.functions.sequences import prefix
 from readwindows.operators import ranking
 from readwindows.operators.windows import WINDOW_KEY
-from readwindows.session import broadcast_up_to, stage
+from readwindows.session import stage
 
 SPLITS = ("train", "val", "test")
-#: Repeated fingerprints that may be sent to all tasks (8 bytes each); more are joined by a shuffle.
+#: Repeated fingerprints that may be sent to all tasks (8 bytes each); of more, a bit each is sent.
 BROADCAST_PRINTS = 4_000_000
+#: Words of 64 bits that hold these bits.
+PRINT_WORDS = 1 << 21
 
 
 def label(df: DataFrame, value: int) -> DataFrame:
@@ -38,15 +40,25 @@ def dedup(
     aggregate, so copies collapse before the shuffle: a sequence that fills a third of
     the table costs one row per task, where a window would gather all copies in one.
     Counting is an action; ``df`` is read three times.
+    Of very many repeated fingerprints only bits are sent to the tasks, so some rows whose fingerprint occurs once are
+    compared as well; no row is shuffled but those that are compared.
     """
     marked = df.withColumn("_print", F.xxhash64(*by))
     again = stage(marked.groupBy("_print").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_print"), "repeated")
-    again = broadcast_up_to(again, again.count(), BROADCAST_PRINTS)
+    if again.count() <= BROADCAST_PRINTS:
+        repeated, alone = (marked.join(F.broadcast(again), "_print", how) for how in ("left_semi", "left_anti"))
+    else:
+        word = F.col("_print").bitwiseAND(F.lit(PRINT_WORDS - 1))
+        bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(_print, 58) as int))")
+        masks = again.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+        marked = marked.join(F.broadcast(masks), word == F.col("_word"), "left")
+        hit = F.coalesce(F.col("_mask").bitwiseAND(bit) != 0, F.lit(False))
+        repeated, alone = marked.where(hit), marked.where(~hit)
     rest = [c for c in df.columns if c not in by and c not in order]
     kept = [c for c in order if c not in by]
-    first = marked.join(again, "_print", "left_semi").groupBy(*by).agg(F.min(F.struct(*kept, *rest)).alias("first"))
+    first = repeated.groupBy(*by).agg(F.min(F.struct(*kept, *rest)).alias("first"))
     first = first.select(*[c if c in by else f"first.{c}" for c in df.columns])
-    return marked.join(again, "_print", "left_anti").select(*df.columns).unionByName(first)
+    return alone.select(*df.columns).unionByName(first)
 
 
 def downsample_per_group(

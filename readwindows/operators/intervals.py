@@ -22,6 +22,8 @@ WINDOW_COLS = ("chromosome", "reference_start", "reference_end")
 PEAK_COLS = ("chrom", "start", "end")
 # Above this many listed rows the right side is shuffled instead of broadcast.
 BROADCAST_ROWS = 250_000
+#: Mean number of right intervals in reach of a cell up to which it may be widened.
+SPARSE = 2
 
 
 @dataclass(frozen=True)
@@ -37,16 +39,20 @@ def widest(df: DataFrame, cols: tuple[str, str, str] = WINDOW_COLS) -> int:
     return df.agg(F.max(F.col(cols[2]) - F.col(cols[1]))).first()[0] or 1
 
 
-def choose_cells(right: DataFrame, left_width: int, cols: tuple[str, str, str] = PEAK_COLS) -> Cells:
+def choose_cells(right: DataFrame, left_width: int, cols: tuple[str, str, str] = PEAK_COLS, wider: int = 1) -> Cells:
     """Cells for intervals up to ``left_width`` wide (an action on the right side).
 
     At least a quarter of the mean right interval, so that listing multiplies the right
-    side by at most seven whatever its longest interval is.
+    side by at most seven whatever its longest interval is. Up to ``wider`` times as wide as that, while
+    a cell meets ``SPARSE`` right intervals or fewer on average: then they are listed less often.
     """
-    width = F.col(cols[2]) - F.col(cols[1])
-    rows, total = right.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    start, end = F.col(cols[1]), F.col(cols[2])
+    rows, total, low, high = right.agg(F.count("*"), F.coalesce(F.sum(end - start), F.lit(0)), F.min(start), F.max(end)).first()
     mean = total / rows if rows else 0
     size = 1 << (math.ceil(max(left_width, mean / 4, 1)) - 1).bit_length()
+    most = size * wider
+    while rows and 2 * size <= most and rows * (4 * size + mean) <= SPARSE * ((high or 0) - (low or 0)):
+        size *= 2
     return Cells(width=size, listed=int(total / size) + 3 * rows)
 
 

@@ -18,6 +18,8 @@ from readwindows.session import broadcast_up_to
 
 BROADCAST_ENTRIES = 2_000_000
 MODES = ("max", "first")
+#: How much wider than needed cells may be where peaks are sparse: a peak is then listed under fewer of them.
+WIDER = 8
 
 
 def _peaks_per_cell(peaks: DataFrame, cells: Cells, mode: str) -> DataFrame:
@@ -85,7 +87,7 @@ def by_overlap(
     """
     if mode not in MODES:
         raise ValueError(f"unknown label mode: {mode}")
-    cells = cells or choose_cells(peaks, window_size or widest(windows))
+    cells = cells or choose_cells(peaks, window_size or widest(windows), wider=WIDER)
     table = _peaks_per_cell(peaks, cells, mode)
     start, end = F.col("reference_start"), F.col("reference_end")
     return (

@@ -33,7 +33,7 @@ def make_windows(reads: DataFrame, peaks: DataFrame, params: Params, mode: str =
 
     Reads are scanned twice: to count, without cutting sequences, and to write.
     """
-    cells = choose_cells(peak_ops.on_contig(peaks, params.contig), params.window_size)
+    cells = choose_cells(peak_ops.on_contig(peaks, params.contig), params.window_size, wider=labels.WIDER)
     labelled = label_windows(reads, peaks, params, mode, cells=cells)
     counted = label_windows(reads, peaks, params, mode, sequences=False, cells=cells)
     return dataset.downsample_per_group(labelled, "source_file", params.seed, counted=counted)

@@ -114,6 +114,25 @@ def test_dedup_compares_in_full(spark, monkeypatch):
     assert found == sorted((f"S{k:02d}", k % 2, k) for k in range(50))
 
 
+@pytest.mark.parametrize("words", [1, 1 << 21])
+def test_dedup_of_many_repeated_rows_shuffles_no_others(spark, words, monkeypatch):
+    monkeypatch.setattr(dataset, "BROADCAST_PRINTS", 0)
+    monkeypatch.setattr(dataset, "PRINT_WORDS", words)
+    rows = [("f", i, 0, "ACGT" * (i % 40), i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "source_file string, read_ordinal bigint, window_index bigint, query_subseq string, labels int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = dataset.dedup(stage(df))
+        assert "SortMergeJoin" not in plan_of(kept)
+        first = {}
+        for row in rows:
+            first.setdefault(row[3:], row)
+        assert sorted(map(tuple, kept.select(df.columns).collect())) == sorted(first.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_ordered_positions(spark):
     df = spark.range(5000, numPartitions=7).select((F.col("id") * 7919 % 5003).alias("v"))
     found = ranking.ordered_positions(df, ["v"], "at").collect()

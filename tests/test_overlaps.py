@@ -79,6 +79,22 @@ def test_random_labels(spark, mode, broadcast, monkeypatch):
         assert got(labels.by_overlap(windows, peaks, 25, mode, window_size=size)) == brute(ws, ps, mode, 25)
 
 
+@pytest.mark.parametrize("mode", labels.MODES)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_sparse_peaks_are_listed_less_often(spark, mode, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(labels, "BROADCAST_ENTRIES", 0)
+    rng = random.Random(5)
+    ps = [("chr1", s, s + rng.randint(40, 340)) for s in (rng.randint(0, 300_000) for _ in range(200))]
+    ws = [("chr1", s, s + 50) for s in (rng.choice(ps)[1] + rng.randint(-100, 300) for _ in range(300)) if s >= 0]
+    windows, peaks = make(spark, ws, ps)
+    plain, wide = intervals.choose_cells(peaks, 50), intervals.choose_cells(peaks, 50, wider=labels.WIDER)
+    assert wide.width == 8 * plain.width and wide.listed < 0.65 * plain.listed
+    assert got(labels.by_overlap(windows, peaks, 25, mode, window_size=50)) == brute(ws, ps, mode, 25)
+    crowded = peaks.selectExpr("*", "explode(sequence(1, 20)) AS again").drop("again")
+    assert intervals.choose_cells(crowded, 50, wider=labels.WIDER).width == plain.width
+
+
 def test_lists_per_cell_are_bounded(spark):
     cells = intervals.Cells(width=64, listed=0)
     peaks = spark.range(100_000).select(
