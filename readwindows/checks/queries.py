@@ -62,11 +62,25 @@ def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.dedup(stage(_labelled(spark, sf_dir), "labelled"))
 
 
+#: What training, splits and leaks need of a labelled window.
+TRAINING_COLUMNS = [*windows.WINDOW_KEY, "query_subseq", "labels"]
+
+
+def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled windows without the columns that training leaves unread, written once."""
+    return stage(_labelled(spark, sf_dir).select(*TRAINING_COLUMNS), "labelled")
+
+
 def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
     """Not strict: on the larger tables peaks cover most of the contig and positives prevail."""
     return prepare(stage(_labelled(spark, sf_dir), "labelled"), PARAMS, strict=False)
 
 
+def _training_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The splits of ``_prepared``, with ``TRAINING_COLUMNS`` alone."""
+    return prepare(_training_rows(spark, sf_dir), PARAMS, strict=False).splits
+
+
 def _with_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.reads(spark, sf_dir).where("query_sequence IS NOT NULL").select(
         F.col("read_ordinal").alias("doc_id"), "query_sequence"
@@ -168,7 +182,7 @@ def s8_combined_samples(spark, sf_dir):
 @query
 def s9_split_samples(spark, sf_dir):
     path = scratch_path(spark, "splits")
-    samples.write_splits(_prepared(spark, sf_dir).splits, path, "csv")
+    samples.write_splits(_training_splits(spark, sf_dir), path, "csv")
     return samples.read_splits(spark, path, "csv")
 
 
@@ -212,7 +226,7 @@ def p6_x2_labelled_union(spark, sf_dir):
 
 @query
 def p7_feature_projection(spark, sf_dir):
-    return dataset.part(_prepared(spark, sf_dir).splits, "val")
+    return dataset.part(_training_splits(spark, sf_dir), "val")
 
 
 @query
@@ -452,7 +466,7 @@ def x1_unique_windows(spark, sf_dir):
 @query
 def x3_leakage(spark, sf_dir):
     """Splits of the plain windows, where copies of a sequence do leak."""
-    return dataset.leakage(dataset.split(stage(_labelled(spark, sf_dir), "labelled"), seed=PARAMS.seed))
+    return dataset.leakage(dataset.split(_training_rows(spark, sf_dir), seed=PARAMS.seed))
 
 
 # Scalar functions.
@@ -553,7 +567,8 @@ def _language_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = fixtures.reads(spark, sf_dir).where("query_sequence IS NOT NULL")
     found = windows.slide(reads, 400, 400)
     by_contig = (F.col("chromosome") == PARAMS.contig).cast("int")
-    return stage(dataset.split(stage(found.withColumn("labels", by_contig), "labelled"), seed=PARAMS.seed))
+    labelled = found.withColumn("labels", by_contig).select(*TRAINING_COLUMNS)
+    return stage(dataset.split(stage(labelled, "labelled"), seed=PARAMS.seed))
 
 
 K_MODEL = 4
@@ -579,7 +594,7 @@ def m1_u3_model_report(spark, sf_dir):
 @query
 def m3_tuning(spark, sf_dir):
     """Settings tried side by side, weak ones stopped early."""
-    splits = stage(_prepared(spark, sf_dir).splits)
+    splits = stage(_training_splits(spark, sf_dir))
     found = training.search(dataset.part(splits, "train"), dataset.part(splits, "val"), SETTINGS, K_TRAIN, EPOCHS, MINI_BATCHES, PARAMS.seed)
     return found.withColumn("auc", F.round("auc", 6))
 
@@ -587,7 +602,7 @@ def m3_tuning(spark, sf_dir):
 @query
 def m4_training_history(spark, sf_dir):
     """Loss and accuracy of both tables, epoch by epoch."""
-    splits = stage(_prepared(spark, sf_dir).splits)
+    splits = stage(_training_splits(spark, sf_dir))
     _, history = training.train(dataset.part(splits, "train"), dataset.part(splits, "val"), K_TRAIN, EPOCHS, MINI_BATCHES, SETTINGS[0].learning_rate, SETTINGS[0].l2, PARAMS.seed)
     return history.select("epoch", *[F.round(c, 6).alias(c) for c in history.columns if c != "epoch"])
 
@@ -595,7 +610,7 @@ def m4_training_history(spark, sf_dir):
 @query
 def m1_m2_epoch_scores(spark, sf_dir):
     """Validation windows with the scores of the classifier after the last epoch."""
-    splits = stage(_prepared(spark, sf_dir).splits)
+    splits = stage(_training_splits(spark, sf_dir))
     fitted, _ = training.train(dataset.part(splits, "train"), dataset.part(splits, "val"), K_TRAIN, EPOCHS, MINI_BATCHES, SETTINGS[0].learning_rate, SETTINGS[0].l2, PARAMS.seed)
     scored = training.score(fitted, splits.where("split = 'val'"))
     return scored.select(*windows.WINDOW_KEY, "label", F.round("logit", 6).alias("logit"), F.round("score", 6).alias("score"), "prediction")

@@ -36,3 +36,19 @@ def test_split_of_all_reads_is_of_staged_windows(spark, monkeypatch):
     monkeypatch.setattr(queries.dataset, "split", lambda df, **kw: (plans.append(plan_of(df)), split(df, **kw))[1])
     queries._language_windows(spark, SF_DIR)
     assert len(plans) == 1 and "ArrowEvalPython" not in plans[0]
+
+
+@pytest.mark.parametrize("name", ["m3_tuning", "p7_feature_projection", "m4_training_history", "s9_split_samples"])
+def test_training_splits_are_made_of_training_columns(spark, monkeypatch, name):
+    seen, prepare = [], queries.prepare
+    monkeypatch.setattr(queries, "prepare", lambda labelled, *args, **kw: (seen.append(labelled.columns), prepare(labelled, *args, **kw))[1])
+    queries.QUERIES[name](spark, SF_DIR)
+    assert seen == [["source_file", "read_ordinal", "window_index", "query_subseq", "labels"]]
+
+
+@pytest.mark.parametrize("name", ["x3_leakage", "m1_m2_scored_validation"])
+def test_splits_are_made_of_training_columns(spark, monkeypatch, name):
+    seen, split = [], queries.dataset.split
+    monkeypatch.setattr(queries.dataset, "split", lambda df, **kw: (seen.append(df.columns), split(df, **kw))[1])
+    queries.QUERIES[name](spark, SF_DIR)
+    assert seen == [["source_file", "read_ordinal", "window_index", "query_subseq", "labels"]]
