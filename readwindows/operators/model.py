@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from readwindows.functions import kmers, scores
+from readwindows.session import stage
 
 SCORED_COLUMNS = ["label", "logit", "score", "prediction"]
 
@@ -29,7 +33,7 @@ def _vocabulary(k: int) -> list[str]:
 
 
 def with_kmers(df: DataFrame, k: int, sequence: str = "query_subseq", label: str = "labels") -> DataFrame:
-    """k-mer lists and a ``label``, next to the columns of ``df``."""
+    """k-mer lists and a ``label``, next to the columns of ``df``: what ``counter`` reads."""
     return df.withColumn("_kmers", kmers.split(F.col(sequence), k)).withColumn(
         "label", F.col(label).cast("int")
     )
@@ -40,20 +44,55 @@ def counter(k: int) -> CountVectorizerModel:
     return CountVectorizerModel.from_vocabulary(_vocabulary(k), inputCol="_kmers", outputCol="features")
 
 
+def _sparse(column: pa.Array, k: int) -> pa.Array:
+    """Of every sequence the counts of its known k-mers, as Spark ML stores a sparse vector."""
+    width, indices, values, sizes = len(kmers.ALPHABET) ** k, [], [], []
+    for ids, counts in kmers.id_blocks(column, k):
+        known = ids >= kmers.FIRST_KMER_ID
+        cells = (np.repeat(np.arange(len(counts)), counts)[known] * width + ids[known]) - kmers.FIRST_KMER_ID
+        if len(counts) * width <= 4 * len(cells):
+            n = np.bincount(cells, minlength=len(counts) * width)
+            found = np.flatnonzero(n)
+            n = n[found]
+        else:
+            found, n = np.unique(cells, return_counts=True)
+        indices.append((found % width).astype(np.int32))
+        values.append(n.astype(float))
+        sizes.append(np.bincount(found // width, minlength=len(counts)))
+    at = pa.array(np.cumsum(np.concatenate([[0], *sizes])), pa.int32())
+    lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, kind), *parts]))) for kind, parts in ((np.int32, indices), (float, values))]
+    heads = [pa.array(np.zeros(len(column), np.int8)), pa.array(np.full(len(column), width, np.int32))]
+    return pa.StructArray.from_arrays([*heads, *lists], ["type", "size", "indices", "values"])
+
+
+def with_features(df: DataFrame, k: int, sequence: str = "query_subseq", label: str = "labels") -> DataFrame:
+    """``features``, the vectors that ``counter`` makes of ``with_kmers``, and ``label``.
+
+    The k-mers of a whole Arrow batch are counted as numbers; no string is made of any.
+    """
+    counted = F.arrow_udf(lambda column: _sparse(column, k), VectorUDT())(F.col(sequence))
+    return df.withColumn("features", counted).withColumn("label", F.col(label).cast("int"))
+
+
 def classifier(**settings: float) -> LogisticRegression:
     return LogisticRegression(labelCol="label", featuresCol="features", **({"maxIter": 20, "regParam": 0.01} | settings))
 
 
 def fit(train: DataFrame, k: int = 6, **settings: float) -> PipelineModel:
-    """Train on ``query_subseq`` and ``labels``."""
-    return Pipeline(stages=[counter(k), classifier(**settings)]).fit(with_kmers(train, k))
+    """Train on ``query_subseq`` and ``labels``.
+
+    Features are written once, as training reads them twice.
+    """
+    counted = stage(with_features(train, k).select("label", "features"), "features")
+    return PipelineModel([counter(k), classifier(**settings).fit(counted)])
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``label``, ``logit``, ``score`` and ``prediction``."""
     k = len(model.stages[0].vocabulary[0])
     kept = [c for c in df.columns if c not in SCORED_COLUMNS]
-    return model.transform(with_kmers(df, k)).select(
+    scored = PipelineModel(model.stages[1:]).transform(with_features(df, k))
+    return scored.select(
         *kept,
         "label",
         F.get(vector_to_array("rawPrediction"), 1).alias("logit"),
@@ -78,9 +117,8 @@ def tune(
     Features are computed once for all settings. The result has one row per setting.
     """
     spark = train.sparkSession
-    vectors = counter(k)
     train_x, val_x = (
-        vectors.transform(with_kmers(df, k)).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+        with_features(df, k).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
         for df in (train, val)
     )
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)

@@ -48,6 +48,22 @@ def test_counts_use_the_fixed_vocabulary():
     assert model._vocabulary(2)[:5] == ["AA", "AC", "AG", "AT", "CA"] and len(model._vocabulary(3)) == 64
 
 
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_features_are_the_counts_of_the_fixed_vocabulary(spark, k):
+    texts = ["ACGTACGTTTGACA", "", None, "A", "ACNGTTA", "acgtACG", "ACGéTTACC", "T" * 300]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "query_subseq string, labels int").coalesce(1)
+    slow = model.counter(k).transform(model.with_kmers(df, k)).select("query_subseq", "label", "features")
+    fast = model.with_features(df, k).select("query_subseq", "label", "features")
+    assert fast.collect() == slow.collect() and fast.schema.names == slow.schema.names
+
+
+def test_training_reads_written_features(spark, tables, monkeypatch):
+    plans, write = [], model.stage
+    monkeypatch.setattr(model, "stage", lambda df, name: (plans.append(df.columns), write(df, name))[1])
+    model.fit(tables[0], k=2)
+    assert plans == [["label", "features"]]
+
+
 def test_train_and_evaluate(tables):
     train, val = tables
     splits = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
