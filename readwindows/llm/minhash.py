@@ -148,13 +148,15 @@ def _postings(nodes: DataFrame, percent: int) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
     held = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("holders", "token")).alias("held"))
     able = stage(held.where(F.size("held") >= MATCHES).join(nodes.select("node", "n"), "node"), "able")
-    # Sizes that are similar enough lie in one class or in two neighbouring ones; each node is in its own and the next.
+    # Sizes that are similar enough lie in one class or in two neighbouring ones.
     width = log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
     size = F.floor(F.ln("n") / F.lit(width))
-    each = able.select("node", F.explode("held").alias("pair"), size.alias("size"))
-    each = each.select("node", "pair", "pair.token", F.explode(F.array("size", F.col("size") + 1)).alias("size"))
-    near = each.groupBy("token", "size").agg(F.count("*").alias("m")).where("m > 1").select("token", "size")
-    useful = each.join(near, ["token", "size"]).groupBy("node").agg(F.collect_set("pair").alias("held")).where(F.size("held") >= MATCHES)
+    each = able.select("node", F.explode("held").alias("pair"), size.alias("size")).select("node", "pair.holders", "pair.token", "size")
+    # So a pair is useful to a node if another node that has it is in the same class or in one beside it.
+    sizes = each.groupBy("token", "size").agg(F.count("*").alias("m")).groupBy("token").agg(F.collect_list(F.struct("size", "m")).alias("sizes"))
+    near = F.expr("aggregate(sizes, 0L, (m, s) -> m + if(abs(s.size - size) <= 1, s.m, 0L)) > 1")
+    held = F.collect_set(F.struct("holders", "token")).alias("held")
+    useful = each.join(sizes, "token").where(near).groupBy("node").agg(held).where(F.size("held") >= MATCHES)
     # The order by all holders is the same for every node, so partners find their first common pair in both prefixes.
     rare = useful.select("node", F.expr(f"slice(array_sort(held), 1, size(held) - {MATCHES} + 1).token").alias("rare"))
     bits = F.expr("aggregate(rare, 0L, (bits, token) -> bits | shiftleft(1L, cast(shiftright(token, 32) as int)))")

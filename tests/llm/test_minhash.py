@@ -7,6 +7,8 @@ from readwindows.llm import minhash
 from readwindows.llm.components import components
 from readwindows.session import stage
 
+from helpers import plan_of
+
 from .cases import DOCS, no_docs, odd_docs, odd_rows, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,3 +119,11 @@ def test_stars_are_written_once(spark, monkeypatch):
     assert len(written) == 1
     path = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(60, 50), (60, 51), (51, 49)], "a long, b long")
     assert {tuple(r) for r in components(path).collect()} == {(k, 0) for k in range(41)} | {(k, 49) for k in (49, 50, 51, 60)}
+
+
+def test_rows_go_to_one_class_of_sizes(spark, monkeypatch):
+    """No row is doubled to be compared with the next class of sizes."""
+    plans, write = {}, minhash.stage
+    monkeypatch.setattr(minhash, "stage", lambda df, name="stage": (plans.setdefault(name, plan_of(df)), write(df, name))[1])
+    minhash.membership(spark.createDataFrame(odd_rows() + chain_rows(), DOCS), 2)
+    assert "explode(array(size" not in plans["postings"]
