@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+from helpers import plan_of
 from readwindows.llm import mixing, search
 
 from .cases import DOCS, labels, no_docs, odd_docs, odd_rows, prose
@@ -124,3 +125,15 @@ def test_search_of_odd_and_empty_tables(spark):
     assert search.search(docs, docs).count() > 0
     assert search.search(no_docs(spark), docs).count() == 0
     assert search.search(docs, no_docs(spark)).count() == 0
+
+
+def test_words_of_a_shard_are_counted_once_for_all_blocks_of_queries(spark, monkeypatch):
+    rows = [(k, prose(k, 8 + k % 40), "en", "a", 0) for k in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    asked = docs.where("doc_id % 20 = 0")
+    whole = search.search(docs, asked)
+    for name, value in {"QUERY_POSTINGS": 100, "LEAST_ROWS": 100, "LEVEL": 4, "TOGETHER": 3, "ADDED": 200}.items():
+        monkeypatch.setattr(search, name, value)
+    found = search.search(docs, asked)
+    assert plan_of(found).split("\n\n")[0].count("MapInArrow") == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
