@@ -9,18 +9,33 @@ all pairs. With a bound, pairs that can't reach it any more leave the batch earl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: 64-bit words of the letters' positions that one group of pairs may take.
 GROUP_WORDS = 1 << 20
 #: Letters between two looks at which pairs can still reach their bound.
 LOOK = 8
+#: Pairs whose signatures are compared at once.
+GROUP_PAIRS = 1 << 19
+
+
+class Signed(NamedTuple):
+    """Sequences under a key: ids, how many letters they have more than the key's size, and the words of their signatures."""
+
+    key: np.ndarray
+    id: np.ndarray
+    more: np.ndarray
+    words: list[np.ndarray]
+
+    def take(self, rows: np.ndarray) -> Signed:
+        return Signed(self.key[rows], self.id[rows], self.more[rows], [w[rows] for w in self.words])
 
 
 def _codes(texts: Sequence[str]) -> tuple[np.ndarray, int]:
@@ -115,6 +130,60 @@ def run_signatures(texts: Sequence[str]) -> np.ndarray:
     return np.packbits(seen, axis=1, bitorder="little").view("<i8").ravel()
 
 
+#: The same of runs of four letters: one letter breaks up to three and makes four.
+BITS_PER_LETTER_OF_FOUR = 7
+WORDS = ("w0", "w1", "w2", "w3")
+
+
+def four_signatures(texts: Sequence[str]) -> np.ndarray:
+    """Which of 256 kinds of runs of four letters occur in each text, as the bits of four numbers."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters = (np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") >> 1 & 3).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.flatnonzero(row[3:] == row[:-3])
+    kinds = letters[inside] << 6 | letters[inside + 1] << 4 | letters[inside + 2] << 2 | letters[inside + 3]
+    seen = np.zeros((len(texts), 256), np.uint8)
+    seen[row[inside], kinds] = 1
+    return np.packbits(seen, axis=1, bitorder="little").view("<i8")
+
+
+def like_pairs(x: Signed, y: Signed, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids in ``x`` and ``y`` of all pairs with one key whose signatures differ no more than ``edits`` letters allow.
+
+    Pairs of equal size, which meet both ways, are looked at once.
+    """
+    keys, ids = np.unique(x.key), np.unique(np.concatenate((x.id, y.id)))
+    places = [np.searchsorted(keys, side.key) * (len(ids) + 1) + np.searchsorted(ids, side.id) for side in (x, y)]
+    order = np.argsort(places[0])
+    x, place = x.take(order), places[0][order]
+    y = y.take(known := np.flatnonzero(keys[np.minimum(np.searchsorted(keys, y.key), len(keys) - 1)] == y.key) if len(keys) else np.zeros(0, np.int64))
+    at = places[1][known]
+    group = at // (len(ids) + 1) * (len(ids) + 1)
+    first = np.where(y.more > 0, np.searchsorted(place, group), np.searchsorted(place, at, "right"))
+    count = np.searchsorted(place, group + len(ids)) - first
+    most = (BITS_PER_LETTER_OF_FOUR * (2 * edits - y.more.astype(np.int64))).astype(np.uint16)  # of letters that the common subsequence may leave out
+    ends = np.cumsum(count)
+    lo = 0
+    while lo < len(known):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + GROUP_PAIRS, "right")))
+        size = count[lo:hi]
+        a = np.arange(int(ends[hi - 1] - before)) + np.repeat(first[lo:hi] - (ends[lo:hi] - size - before), size)
+        differ = np.zeros(len(a), np.uint16)
+        for mine, other in zip(x.words, y.words, strict=True):
+            differ += np.bitwise_count(mine[a] ^ np.repeat(other[lo:hi], size))
+        near = np.flatnonzero(differ <= np.repeat(most[lo:hi], size))
+        b = lo + np.searchsorted(ends[lo:hi] - before, near, "right")
+        yield x.id[a[near]], y.id[b]
+        lo = hi
+
+
+@F.pandas_udf(StructType([StructField(w, LongType()) for w in WORDS]))
+def four_signature(texts: pd.Series) -> pd.DataFrame:
+    """``four_signatures`` of a column without nulls."""
+    return pd.DataFrame(four_signatures(texts.tolist()), columns=list(WORDS))
+
+
 @F.pandas_udf(LongType())
 def run_signature(texts: pd.Series) -> pd.Series:
     """``run_signatures`` of a column without nulls."""

@@ -9,7 +9,8 @@ from helpers import plan_of
 from pyspark.sql import functions as F
 
 from readwindows.functions import kmers
-from readwindows.functions.similarity import BITS_PER_LETTER, lcs_lengths, run_signatures
+from readwindows.functions import similarity as similarity_functions
+from readwindows.functions.similarity import BITS_PER_LETTER, BITS_PER_LETTER_OF_FOUR, Signed, four_signatures, lcs_lengths, like_pairs, run_signatures
 from readwindows.operators import features, similarity
 
 SEQUENCES = ["", "ACG", "ACGTAC", "ACGTACGTTT", "acgtacgt", "ACGNACGTACG", "TTTTTTT", "AÇGTÄCGT"]
@@ -187,3 +188,45 @@ def test_near_pairs_shuffle_only_pieces_and_near_pairs(spark):
     plan = plan_of(similarity.near_pairs(spark.createDataFrame([(s,) for s in sequences], "query_subseq string")))
     tree = plan.split("\n\n")[0]
     assert tree.index("HashAggregate") < tree.index("Exchange") < tree.index("ArrowEvalPython") < tree.index("Join")
+
+
+def test_a_letter_changes_few_bits_of_a_signature_of_four():
+    rng = random.Random(4)
+    for letters in ("A", "ACGT", "ACGTNé𝄞"):
+        for n in (0, 1, 3, 4, 5, 50, 80):
+            text = "".join(rng.choices(letters, k=n))
+            for at in range(n + 1):
+                more = text[:at] + rng.choice(letters) + text[at:]
+                a, b = four_signatures([text, more]).view(np.uint64)
+                assert np.bitwise_count(a ^ b).sum() <= BITS_PER_LETTER_OF_FOUR
+
+
+def test_pairs_of_unlike_sequences_under_one_key_go_no_further(monkeypatch):
+    """Hundreds of sequences share a piece: only the near pairs among them are left, each once."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("ACGT", k=50)) for _ in range(300)]
+    texts = [t[:20] + "ACGTTGCAAC" + t[30:] for t in texts]
+    texts += [t[:5] + "A" + t[6:] for t in texts[:20]]
+    n = len(texts)
+    signed = Signed(np.full(n, 9), np.arange(n), np.zeros(n, np.int8), list(four_signatures(texts).view(np.uint64).T))
+    empty = signed.take(np.zeros(0, np.int64))
+    for pairs in (1 << 20, 100):
+        monkeypatch.setattr(similarity_functions, "GROUP_PAIRS", pairs)
+        found = [(i, j) for a, b in like_pairs(signed, signed, 2) for i, j in zip(b.tolist(), a.tolist(), strict=True)]
+        assert len(found) == len(set(found)) <= 40 and all(i < j for i, j in found)
+        assert set(found) >= {(k, 300 + k) for k in range(20)}
+    assert not list(like_pairs(empty, signed, 2)) and not list(like_pairs(signed, empty, 2))
+
+
+def test_near_pairs_with_a_common_piece_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ACGT", k=20)) + "ACGTTGCAAC" + "".join(rng.choices("ACGT", k=20)) for _ in range(60)]
+    texts += [t[:k % 45] + rng.choice("ACGT") + t[k % 45 + 1 :] for k, t in enumerate(texts)] + [t + "GA" for t in texts[:10]]
+    df = spark.createDataFrame([(t,) for t in texts], "query_subseq string")
+    whole = sorted(map(tuple, similarity.near_pairs(df).collect()))
+    monkeypatch.setattr(similarity, "COMMON", 10)
+    monkeypatch.setattr(similarity, "BUCKET_PIECES", 40)
+    assert sorted(map(tuple, similarity.near_pairs(df).collect())) == whole
+    known = sorted(set(texts))
+    expected = [(a, b) for i, a in enumerate(known) for b in known[i + 1 :] if max(len(a), len(b)) - lcs_table(a, b) <= 2]
+    assert [(a, b) for a, b, _ in whole] == expected
